@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm import packing, pii, telephony, tokencount
-from lodestrata.llm.common import documents
+from lodestrata.llm import langid, packing, pii, telephony, tokencount, toxicity
+from lodestrata.llm.common import documents, held_out
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "restored")
 
 
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +27,15 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(documents(spark, sf_dir)))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.fit(docs, ~held_out(F.col("doc_id"))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_telephony, op5_packing, op6_pii, op9_tokencount)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_telephony, op5_packing, op6_pii, op7_langid, op9_tokencount)}
 ORACLES: dict[str, str] = {}
