@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm import langid, packing, pii, telephony, tokencount, toxicity
+from lodestrata.llm import langid, packing, pii, secrets, telephony, tokencount, toxicity
 from lodestrata.llm.common import documents, held_out
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "restored")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(documents(spark, sf_dir)))
+
+
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.to_audio(documents(spark, sf_dir))
 
@@ -37,5 +41,5 @@ def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_telephony, op5_packing, op6_pii, op7_langid, op9_tokencount)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_telephony, op5_packing, op6_pii, op7_langid, op9_tokencount)}
 ORACLES: dict[str, str] = {}
