@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm import langid, packing, pii, secrets, telephony, tokencount, toxicity
+from lodestrata.llm import langid, licenses, packing, pii, secrets, telephony, tokencount, toxicity
 from lodestrata.llm.common import documents, held_out
 
 
@@ -23,6 +23,10 @@ def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.to_audio(documents(spark, sf_dir))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -41,5 +45,5 @@ def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_telephony, op5_packing, op6_pii, op7_langid, op9_tokencount)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_telephony, op4_licenses, op5_packing, op6_pii, op7_langid, op9_tokencount)}
 ORACLES: dict[str, str] = {}
