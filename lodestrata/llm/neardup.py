@@ -7,9 +7,10 @@ make buckets; pairs of a bucket are compared by their samples and, if those leav
 Jaccard similarity of the texts. Links of THRESHOLD or more make classes, by connected components.
 
 Groups of any size: exact copies are one node from the start. In a bucket of up to SMALL nodes all pairs are tested.
-In a larger one a few leaders are tested with all other nodes, and again with new leaders until no two nodes of the
-bucket that were never tested lie in different classes: pairs within a class need no test, all others get one. Work
-is in proportion to the bucket where its nodes are alike, no task gathers a bucket, and no pair is left out.
+In a larger one the least node is tested with all others, and classes are formed; then the nodes outside the bucket's
+largest class are tested with all its nodes of other classes, block by block, by exact similarities from matrix
+products, which return links only. Pairs within a class need no test and all others get one, so no link is left out,
+no task gathers a bucket, and the work follows the nodes that a group's leader doesn't catch.
 
 Defined results: every input row gets one row (repeated rows alike); the class id is the least id of the class; texts
 without a word are alike only if equal; null texts count as empty; rows with null ids join the class of their text;
@@ -21,19 +22,21 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lodestrata.llm import vec
-from lodestrata.llm.common import stored, text_map
+from lodestrata.llm.common import slices, stored, text_map
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-#: Pairs that agree in fewer samples are not verified: at similarity 0.8 that has a chance of about one in a million.
-LEAST_AGREEMENT = SAMPLES // 2
+#: Pairs that agree in fewer samples are not verified: at similarity 0.8 that has a chance of about 3e-5.
+LEAST_AGREEMENT = 26
 #: Bits of the table of hashed document frequencies, and of the table of random variates.
 FREQ_BITS, VARIATE_BITS = 16, 16
-SMALL, LEADERS = 32, 16
+SMALL = 32
+#: Nodes and characters of a block of a large bucket, on average.
+BLOCK_NODES, BLOCK_CHARS = 256, 2_000_000
 
 
 def weighted_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,6 +221,76 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return text_map(both, f"a {kind}, b {kind}", make, "tb", ("a", "b", "ta"))
 
 
+def block_links(texts: list[str], label: list[int], asks: np.ndarray, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (i, j) from texts i that ask to texts j of other labels: one for each i and label that has any.
+
+    Similarities are exact: a shingle that occurs tf times is tf features of its idf, so the common weight of two
+    sets is a product of 0/1 rows, summed over the features that two texts or more hold, 4096 at a time.
+    """
+    n, parts = len(texts), []
+    for lo, hi in slices(texts):
+        doc, shingle, tf = weighted_sets(texts[lo:hi])
+        rep = np.repeat(np.arange(len(doc)), tf)
+        level = np.arange(len(rep)) - np.repeat(np.cumsum(tf) - tf, tf)
+        parts.append((doc[rep] + lo, shingle[rep], vec.mix(shingle[rep] + vec.mix(level.astype(np.uint64) + np.uint64(1)))))
+    doc, shingle, feature = (np.concatenate(x) for x in zip(*parts, strict=True))
+    weight = idf[slot(shingle)].astype(float)
+    total = np.bincount(doc, weight, n)
+    _, first, inverse, held = np.unique(feature, return_index=True, return_inverse=True, return_counts=True)
+    rank = np.cumsum(held > 1) - 1
+    shared = held[inverse] > 1
+    column, doc = rank[inverse[shared]], doc[shared]
+    root = np.sqrt(weight[first[held > 1]])
+    order = np.argsort(column, kind="stable")
+    column, doc = column[order], doc[order]
+    common = np.zeros((int(asks.sum()), n))
+    for lo in range(0, len(root), 4096):
+        a, b = np.searchsorted(column, (lo, lo + 4096))
+        x = np.zeros((n, min(4096, len(root) - lo)), np.float32)
+        x[doc[a:b], column[a:b] - lo] = root[column[a:b]]
+        common += x[asks] @ x.T
+    rows = np.flatnonzero(asks)
+    union = total[rows][:, None] + total[None, :] - common
+    label = np.array(label)
+    hit = (common >= (threshold - 1e-7) * union) & (union > 0) & (label[rows][:, None] != label[None, :])
+    out = {}
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        out.setdefault((int(rows[i]), label[j]), int(j))
+    return [(i, j) for (i, _), j in out.items()]
+
+
+def outside_links(large: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links of large buckets between nodes outside the largest class and nodes of any other class."""
+    placed = large.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    placed = placed.join(texts.select("node", F.length("text").alias("chars")), "node")
+    tally = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("chars").alias("chars"))
+    shape = tally.groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("top"), F.sum("m").alias("n"), F.sum("chars").alias("chars")).where("top < n")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.col("chars") / BLOCK_CHARS)).cast("int")
+    ask_blocks = F.ceil(F.greatest((F.col("n") - F.col("top")) / BLOCK_NODES, F.col("chars") * (1 - F.col("top") / F.col("n")) / BLOCK_CHARS)).cast("int")
+    shape = shape.select("band", "main", blocks.alias("nb"), ask_blocks.alias("na"))
+    dealt = stored(placed.join(shape, "band"), "outside")
+    place = lambda of, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(of)).cast("int")
+    every = F.sequence(F.lit(0), F.col("na") - 1)
+    held = dealt.select("band", "node", "label", F.lit(False).alias("asks"), F.explode(every).alias("qa"), place("nb", 1).alias("mb"))
+    asking = dealt.where("label != main").select("band", "node", "label", F.lit(True).alias("asks"), place("na", 2).alias("qa"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("mb"))
+    both = held.unionByName(asking).join(texts, "node")
+    kind = dict(large.dtypes)["node"]
+    shared = large.sparkSession.sparkContext.broadcast(idf)
+
+    def run(table):
+        import pyarrow as pa
+
+        ids, asks = table.column("node").to_pylist(), np.array(table.column("asks").to_pylist(), bool)
+        found = []
+        if asks.any():
+            rows = [t or "" for t in table.column("text").to_pylist()]
+            found = block_links(rows, table.column("label").to_pylist(), asks, shared.value, threshold)
+        typ = table.schema.field("node").type
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], typ), "b": pa.array([ids[j] for _, j in found], typ)})
+
+    return both.groupBy("band", "qa", "mb").applyInArrow(run, f"a {kind}, b {kind}").where("a != b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, for nodes with links.
 
@@ -248,35 +321,18 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold
     small = member.where(F.col("n") <= SMALL)
     pairs = small.select("band", F.col("node").alias("a")).join(small.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
     star = member.where((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    pairs = pairs.union(star).distinct()
-    texts = None
-    links = None
+    pairs = stored(agreeing(pairs.union(star).distinct(), nodes), "pairs")
     large = member.where(F.col("n") > SMALL).select("band", "node")
-    used = member.where(F.col("n") > SMALL).select("band", F.col("lead").alias("node")).distinct()
     has_large = not large.isEmpty()
-    while True:
-        likely = stored(agreeing(pairs, nodes), "pairs")
-        own = df.select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
-        needed = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-        # one row a node: rows that repeat an id would repeat pairs, never add any
-        texts = stored(own.join(needed, "node"), "candidates")
-        new = stored(verified(likely, texts, idf, threshold), "links")
-        links = new if links is None else stored(links.union(new), "links")
-        labels = components(links)
-        if not has_large:
-            break
-        # buckets with nodes of several classes, in which some nodes have not led yet
-        placed = large.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        waiting = placed.join(used, ["band", "node"], "left_anti")
-        mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-        main = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-        outside = waiting.join(mixed, "band").join(main, "band").where(F.col("label") != F.col("main"))
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        leaders = stored(outside.select("band", "node", "label", rank.alias("k")).where(F.col("k") <= LEADERS).select("band", F.col("node").alias("lead"), F.col("label").alias("own")), "leaders")
-        if leaders.isEmpty():
-            break
-        used = stored(used.union(leaders.select("band", F.col("lead").alias("node"))), "led")
-        other = leaders.join(placed, "band").where(F.col("label") != F.col("own"))
-        pairs = other.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    needed = needed.union(large.select("node")).distinct() if has_large else needed.distinct()
+    own = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
+    texts = stored(own.join(needed, "node"), "candidates")  # the one shuffle of texts; candidates only from here on
+    links = stored(verified(pairs, texts, idf, threshold), "links")
+    labels = components(links)
+    if has_large:
+        more = stored(outside_links(large, labels, texts, idf, threshold), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
     named = nodes.join(labels, "node", "left").select("c1", "c2", "node", F.coalesce("label", "node").alias("class_id"))
     return sig.select("doc_id", "c1", "c2").join(named, ["c1", "c2"], "left").select("doc_id", "class_id", F.col("node").alias("copy_of"))
