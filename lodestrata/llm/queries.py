@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.llm import langid, licenses, neardup, packing, pii, secrets, telephony, tokencount, toxicity
+from lodestrata.llm import decontam, langid, licenses, neardup, packing, pii, secrets, telephony, tokencount, toxicity
 from lodestrata.llm.common import documents, held_out
 
 
@@ -41,6 +41,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir))
 
@@ -49,5 +53,5 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_telephony, op4_licenses, op5_packing, op6_pii, op7_langid, op9_tokencount, op10_neardup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_telephony, op4_licenses, op5_packing, op6_pii, op7_langid, op8_decontam, op9_tokencount, op10_neardup)}
 ORACLES: dict[str, str] = {}
