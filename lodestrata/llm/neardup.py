@@ -327,7 +327,7 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     needed = needed.union(large.select("node")).distinct() if has_large else needed.distinct()
     own = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
-    texts = stored(own.join(needed, "node"), "candidates")  # the one shuffle of texts; candidates only from here on
+    texts = stored(own.join(needed.hint("merge"), "node"), "candidates")  # the one shuffle of texts, at every size; candidates only from here on
     links = stored(verified(pairs, texts, idf, threshold), "links")
     labels = components(links)
     if has_large:
