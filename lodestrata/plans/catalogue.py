@@ -1,4 +1,309 @@
 """The registered queries of the clustering operators and the SQL they are checked against."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lodestrata.functions import metrics
+from lodestrata.operators import estimator, fuzzy, hierarchy, knn, labelprop, layout, mst, quality
+from lodestrata.sources import vectors
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.read(spark, f"{sf_dir}/embeddings.parquet")
+
+
+def six(c: str):
+    return F.round(c, 6).alias(c)
+
+
+# SQL parts -------------------------------------------------------------------------------------------------------
+
+V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+U = V + ", u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v)"
+
+
+def knn_sql(k: int, pairs: str, base: str = U) -> str:
+    return f"{base}, p AS ({pairs}), g AS (SELECT src, rank, dst, raw FROM (SELECT src, dst, raw, row_number() OVER (PARTITION BY src ORDER BY raw DESC, dst) - 1 AS rank FROM p) WHERE rank < {k})"
+
+
+COS = "SELECT a.id AS src, b.id AS dst, CASE WHEN a.id = b.id THEN 1.0 ELSE list_inner_product(a.e, b.e) END AS raw FROM u a, u b"
+DIST = "CASE WHEN raw > 0 THEN greatest(0.0 - log2(raw), 0.0) ELSE 126.0 END"
+EUC = "SELECT a.id AS src, b.id AS dst, CASE WHEN a.id = b.id THEN 0.0 ELSE -sqrt(greatest(list_inner_product(a.e, a.e) + list_inner_product(b.e, b.e) - 2 * list_inner_product(a.e, b.e), 0)) END AS raw FROM v a, v b"
+Q8 = V + ", q AS (SELECT id, list_transform(e, lambda x: CAST(round(127 * x) AS INTEGER)) AS e FROM v)"
+BITS = V + ", i AS (SELECT id, e, unnest(range(1, 65)) AS k FROM v), b AS (SELECT id, CAST(sum(CASE WHEN e[k] > 0 AND k < 64 THEN CAST(pow(2, k - 1) AS HUGEINT) WHEN e[k] > 0 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE 0 END) AS BIGINT) AS w FROM i GROUP BY id)"
+GRAPH = f"d AS (SELECT src, rank, dst, {DIST} AS dist FROM g)"
+
+
+@query(f"WITH {knn_sql(15, COS)} SELECT src, CAST(rank AS INTEGER) AS rank, dst, round({DIST}, 6) AS dist FROM g")
+def knn_cosine_topk(spark, sf_dir):
+    return knn.published(knn.exact(emb(spark, sf_dir))).select("src", "rank", "dst", six("dist"))
+
+
+@query(f"WITH {knn_sql(10, 'SELECT a.id AS src, b.id AS dst, CAST(list_inner_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS DOUBLE) AS raw FROM q a, q b', Q8)} SELECT src, CAST(rank AS INTEGER) AS rank, dst, raw, round(1 / raw, 6) AS dist FROM g")
+def knn_int8_ip_topk(spark, sf_dir):
+    v = emb(spark, sf_dir).select("id", F.transform(metrics.quantised(F.col("vec")), lambda x: x.cast("double")).alias("vec"))
+    g = knn.exact(v, 10, "int8")
+    return g.join(knn.published(g, "int8").select("src", "rank", "dist"), ["src", "rank"]).select("src", "rank", "dst", "raw", six("dist"))
+
+
+@query(f"WITH {knn_sql(10, 'SELECT a.id AS src, b.id AS dst, CASE WHEN (a.w | b.w) = 0 THEN 0.0 ELSE CAST(bit_count(a.w & b.w) AS DOUBLE) / bit_count(a.w | b.w) END AS raw FROM b a, b b', BITS)} SELECT src, CAST(rank AS INTEGER) AS rank, dst, round(0.0 - log2(raw), 6) AS dist FROM g")
+def knn_bit_jaccard_topk(spark, sf_dir):
+    v = emb(spark, sf_dir).select("id", F.array(metrics.sign_word(F.col("vec"))).alias("vec"))
+    return knn.published(knn.exact(v, 10, "bits"), "bits").select("src", "rank", "dst", six("dist"))
+
+
+@query(f"WITH {knn_sql(15, COS)} SELECT dst AS id, count(*) AS degree FROM g WHERE src <> dst GROUP BY dst")
+def reverse_knn_degree(spark, sf_dir):
+    return knn.exact(emb(spark, sf_dir)).where("src <> dst").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+
+
+@query("SELECT vec_id AS lo, vec_id + 1000000 AS hi FROM embeddings WHERE vec_id % 10 = 0")
+def duplicates(spark, sf_dir):
+    v = emb(spark, sf_dir)
+    twice = v.union(v.where("id % 10 = 0").select((F.col("id") + 1_000_000).alias("id"), "vec"))
+    near = knn.published(knn.exact(twice)).select("src", "rank", "dst", F.round("dist", 9).alias("dist"))
+    return knn.duplicates(near)
+
+
+RHO = f"WITH {knn_sql(15, COS)}, {GRAPH}, r AS (SELECT src, coalesce(min(CASE WHEN dist > 0 THEN dist END), 0.0) AS rho FROM d GROUP BY src)"
+
+
+@query(f"{RHO} SELECT src, round(rho, 6) AS rho FROM r")
+def knn_rho(spark, sf_dir):
+    g = knn.published(knn.exact(emb(spark, sf_dir)))
+    return fuzzy.bandwidths(g, 15).select("src", six("rho"))
+
+
+# sigma is checked by what defines it: the memberships of ranks 1.. sum to log2(k) within the tolerance
+@query(f"{RHO} SELECT src, TRUE AS reaches FROM r")
+def knn_sigma_target(spark, sf_dir):
+    g = knn.published(knn.exact(emb(spark, sf_dir)))
+    w = fuzzy.memberships(g, fuzzy.bandwidths(g, 15))
+    return w.groupBy("src").agg((F.abs(F.sum("weight") - float(np.log2(15))) < 1e-3).alias("reaches"))
+
+
+def fuzzy_edges(spark, sf_dir) -> DataFrame:
+    """Directed edges for queries on graphs: weights by rank, so that SQL can say them."""
+    return knn.exact(emb(spark, sf_dir), 8).where("rank > 0").select("src", "dst", (1.0 / (F.col("rank") + 1)).alias("weight"))
+
+
+EDGES = f"WITH {knn_sql(8, COS)}, e AS (SELECT src, dst, 1.0 / CAST(rank + 1 AS DOUBLE) AS weight FROM g WHERE rank > 0)"
+SYM = EDGES + ", s AS (SELECT coalesce(a.src, b.dst) AS src, coalesce(a.dst, b.src) AS dst, coalesce(a.weight, 0) + coalesce(b.weight, 0) - coalesce(a.weight, 0) * coalesce(b.weight, 0) AS weight FROM e a FULL OUTER JOIN e b ON a.src = b.dst AND a.dst = b.src)"
+PARTS = "m AS (SELECT vec_id AS id, vec_id % 8 AS part FROM embeddings)"
+
+
+@query(SYM + " SELECT src, dst, round(weight, 6) AS weight FROM s")
+def fuzzy_symmetric(spark, sf_dir):
+    return fuzzy.symmetrised(fuzzy_edges(spark, sf_dir)).select("src", "dst", six("weight"))
+
+
+@query(SYM + " SELECT src, dst, round(50 / greatest(50 * weight / (SELECT max(weight) FROM s), 1.0), 6) AS epochs_per_sample FROM s")
+def epochs_per_sample(spark, sf_dir):
+    return fuzzy.epochs_per_sample(fuzzy.symmetrised(fuzzy_edges(spark, sf_dir)), 50).select("src", "dst", six("epochs_per_sample"))
+
+
+@query(f"WITH {knn_sql(6, EUC, V)} SELECT src AS id, round(max(-raw), 6) AS core FROM g GROUP BY src")
+def core_distance(spark, sf_dir):
+    return mst.core_distances(emb(spark, sf_dir), 5).select("id", six("core"))
+
+
+@query(f"WITH {knn_sql(6, EUC, V)}, c AS (SELECT src AS id, max(-raw) AS core FROM g GROUP BY src) SELECT g.src, g.dst, round(greatest(-g.raw, a.core, b.core), 6) AS weight FROM g JOIN c a ON a.id = g.src JOIN c b ON b.id = g.dst WHERE g.src <> g.dst")
+def mutual_reachability_edges(spark, sf_dir):
+    g = knn.exact(emb(spark, sf_dir), 6, "euclid")
+    core = g.groupBy(F.col("src").alias("id")).agg(F.max(-F.col("raw")).alias("core"))
+    both = g.where("src <> dst").join(core.select(F.col("id").alias("src"), F.col("core").alias("ca")), "src").join(core.select(F.col("id").alias("dst"), F.col("core").alias("cb")), "dst")
+    return both.select("src", "dst", F.round(F.greatest(-F.col("raw"), "ca", "cb"), 6).alias("weight"))
+
+
+BAL = "b AS (SELECT c_custkey AS id, c_acctbal AS x FROM customer WHERE c_nationkey = 7)"
+
+
+def line(spark, sf_dir) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey = 7")
+    return c.select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal")).alias("vec"))
+
+
+@query(f"WITH {BAL} SELECT count(*) AS edges, round(sum(gap), 3) AS total FROM (SELECT x - lag(x) OVER (ORDER BY x, id) AS gap FROM b) WHERE gap IS NOT NULL")
+def mst_1d_gaps(spark, sf_dir):
+    return mst.spanning_tree(line(spark, sf_dir), 1).agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("weight"), 3).alias("total"))
+
+
+@query(f"WITH {BAL}, j AS (SELECT id, x, CASE WHEN x - lag(x) OVER (ORDER BY x, id) < 100 THEN 0 ELSE 1 END AS new FROM b), r AS (SELECT id, sum(new) OVER (ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS run FROM j), s AS (SELECT run, min(id) AS least, count(*) AS n FROM r GROUP BY run), k AS (SELECT run, row_number() OVER (ORDER BY least) - 1 AS label FROM s WHERE n >= 3) SELECT r.id, CAST(coalesce(k.label, -1) AS INTEGER) AS label FROM r LEFT JOIN k ON r.run = k.run")
+def cut_labels_1d(spark, sf_dir):
+    rows = line(spark, sf_dir)
+    return mst.cut_labels(mst.spanning_tree(rows, 1), rows, 100.0, 3)
+
+
+@query()
+def mst_weight_total(spark, sf_dir):
+    return mst.spanning_tree(emb(spark, sf_dir), 5).agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("weight"), 5).alias("total"))
+
+
+SWEEP = SYM + ", l AS (SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN vec_id % 16 ELSE -1 END AS label FROM embeddings), v2 AS (SELECT s.src AS id, l.label AS vote, sum(s.weight) AS w FROM s JOIN l ON l.id = s.dst WHERE l.label >= 0 GROUP BY s.src, l.label HAVING round(sum(s.weight), 9) >= 1), t AS (SELECT id, vote, row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, vote) AS r FROM v2)"
+
+
+@query(SWEEP + " SELECT l.id, CASE WHEN l.label >= 0 THEN l.label ELSE coalesce(t.vote, -1) END AS label FROM l LEFT JOIN t ON t.id = l.id AND t.r = 1")
+def labelprop_one_sweep(spark, sf_dir):
+    edges = fuzzy.symmetrised(fuzzy_edges(spark, sf_dir)).select("src", "dst", F.round("weight", 9).alias("weight"))
+    ids = emb(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 16).otherwise(-1).cast("long").alias("label"))
+    return labelprop.sweep(edges, ids)
+
+
+@query("SELECT vec_id % 8 AS part, k - 1 AS i, round(avg(CAST(embedding[k] AS DOUBLE)), 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS k FROM embeddings) GROUP BY vec_id % 8, k")
+def partition_centroids(spark, sf_dir):
+    v = emb(spark, sf_dir)
+    found = labelprop.centroids(v, v.select("id", (F.col("id") % 8).alias("part")))
+    return found.select("part", F.posexplode("vec").alias("i", "x")).select("part", F.col("i").cast("long").alias("i"), six("x"))
+
+
+@query(SYM + f", {PARTS}, z AS (SELECT part, count(*) AS n FROM m GROUP BY part) SELECT a.part AS src, b.part AS dst, round(least(1.0, greatest(0.0, sum(s.weight) / sqrt(max(z.n)))), 6) AS weight FROM s JOIN m a ON a.id = s.src JOIN m b ON b.id = s.dst JOIN z ON z.part = a.part GROUP BY a.part, b.part")
+def coarse_graph(spark, sf_dir):
+    v = emb(spark, sf_dir)
+    return labelprop.coarse(fuzzy.symmetrised(fuzzy_edges(spark, sf_dir)), v.select("id", (F.col("id") % 8).alias("part"))).select("src", "dst", six("weight"))
+
+
+# Trees of fixed size -----------------------------------------------------------------------------------------------
+
+#: A line of 17 points: gaps make three to five groups and one outlier.
+LINE = [0, 1, 2, 4, 10, 11, 12, 13, 14, 40, 41, 43, 44, 52, 53, 54, 100]
+# Its condensed cluster rows at minimum size 3 (parent, child, 1/lambda, size).
+ROWS3 = "(17, 18, 26, 7), (17, 19, 26, 9), (19, 20, 6, 4), (19, 21, 6, 5), (18, 22, 8, 3), (18, 23, 8, 4)"
+
+
+def line_linkage() -> np.ndarray:
+    i = np.arange(len(LINE) - 1)
+    return hierarchy.linkage(i, i + 1, np.diff(LINE).astype(float))
+
+
+def table(spark, rows: list, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+@query(f"SELECT min(size) AS least, max(size) AS most, count(*) AS n FROM (VALUES {ROWS3}) AS t(parent, child, d, size)")
+def condensed_clusters(spark, sf_dir):
+    k = hierarchy.condense(line_linkage(), 3).cluster_rows()
+    return table(spark, [(int(s),) for s in k.size], "size long").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES (20), (21), (22), (23)) AS t(cluster)")
+def leaves(spark, sf_dir):
+    return table(spark, [(int(x),) for x in hierarchy.leaf_clusters(hierarchy.condense(line_linkage(), 3))], "cluster int")
+
+
+@query("SELECT x AS i, CASE WHEN x = 16 THEN 0.0 WHEN x = 3 THEN 0.5 ELSE 1.0 END AS strength, CASE WHEN x = 16 THEN TRUE ELSE FALSE END AS noise FROM (SELECT unnest(range(0, 17)) AS x)")
+def strengths(spark, sf_dir):
+    c = hierarchy.condense(line_linkage(), 3)
+    chosen = hierarchy.leaf_clusters(c)
+    label = hierarchy.labels(c, chosen)
+    s = hierarchy.strengths(c, chosen, label)
+    return table(spark, [(i, float(round(v, 6)), bool(n < 0)) for i, (v, n) in enumerate(zip(s, label, strict=True))], "i long, strength double, noise boolean")
+
+
+@query("SELECT * FROM (VALUES (0.60577, 1), (0.63712, 1), (1.0, 2), (1.15385, 1), (1.5, 1), (2.625, 1), (2.83333, 1), (4.16667, 1)) AS t(score, n)")
+def eom_scores(spark, sf_dir):
+    scores = hierarchy.node_scores(hierarchy.condense(line_linkage(), 2))
+    return table(spark, [(float(round(v, 5)),) for v in scores.values()], "score double").groupBy("score").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query()
+def eom_clusters(spark, sf_dir):
+    return table(spark, [(int(x),) for x in hierarchy.mass_clusters(hierarchy.condense(line_linkage(), 2))], "cluster int")
+
+
+INTERVALS = "(18, 3.0, 7.0, 0.9), (19, 4.0, 7.0, 0.8), (20, 3.0, 4.0, 0.7), (21, 3.0, 4.0, 0.6), (22, 3.0, 3.5, 0.5), (23, 5.0, 6.0, 0.4)"
+
+
+@query(f"WITH t AS (SELECT * FROM (VALUES {INTERVALS}) AS t(c, birth, death, w)) SELECT CAST(s.birth AS DOUBLE) AS size, CAST(round(sum((t.death - t.birth) * t.w), 6) AS DOUBLE) AS persistence FROM (SELECT DISTINCT birth FROM t) s JOIN t ON s.birth >= t.birth AND s.birth < t.death GROUP BY s.birth")
+def total_persistence(spark, sf_dir):
+    """Interval stabbing as a range join on a table of clusters."""
+    t = spark.sql(f"SELECT c, CAST(birth AS DOUBLE) birth, CAST(death AS DOUBLE) death, CAST(w AS DOUBLE) w FROM VALUES {INTERVALS} AS t(c, birth, death, w)")
+    at = t.select(F.col("birth").alias("size")).distinct()
+    return at.join(t, (F.col("size") >= F.col("birth")) & (F.col("size") < F.col("death"))).groupBy("size").agg(F.round(F.sum((F.col("death") - F.col("birth")) * F.col("w")), 6).alias("persistence"))
+
+
+@query("SELECT * FROM (VALUES (3.0, 0.0), (4.0, 0.0), (7.0, 0.0)) AS t(size, zero)")
+def barcode(spark, sf_dir):
+    births, deaths, lam = hierarchy.barcode(hierarchy.condense(line_linkage(), 3), 3)
+    at, _ = hierarchy.total_persistence(births, deaths, lam)
+    return table(spark, [(float(x), 0.0) for x in at], "size double, zero double")
+
+
+@query("WITH x AS (SELECT l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY l_linenumber), w AS (SELECT k, n, lag(n) OVER (ORDER BY k) AS a, lead(n) OVER (ORDER BY k) AS b FROM x) SELECT k FROM w WHERE n > a AND n > b")
+def find_peaks(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n")).orderBy("l_linenumber").collect()  # at most seven
+    return table(spark, [(int(rows[i][0]),) for i in hierarchy.peaks(np.array([r["n"] for r in rows]))], "k int")
+
+
+LABELS2 = "(SELECT vec_id AS id, vec_id % 12 AS f, vec_id % 4 AS c FROM embeddings)"
+
+
+@query(f"SELECT CAST(1 AS INTEGER) AS parent_layer, CAST(c AS INTEGER) AS parent_cluster, CAST(0 AS INTEGER) AS child_layer, CAST(f AS INTEGER) AS child_cluster FROM {LABELS2} GROUP BY f, c UNION ALL SELECT 2, 0, 1, CAST(c AS INTEGER) FROM {LABELS2} GROUP BY c")
+def cluster_tree(spark, sf_dir):
+    ids = emb(spark, sf_dir).select("id")
+    fine = ids.select(F.lit(0).alias("layer"), "id", (F.col("id") % 12).cast("int").alias("label"))
+    return quality.cluster_tree(fine.union(ids.select(F.lit(1), "id", (F.col("id") % 4).cast("int"))))
+
+
+@query("WITH t AS (SELECT label AS a, vec_id % 7 AS b FROM embeddings), n AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS n FROM t GROUP BY a, b), c AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS n FROM n), r AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM n GROUP BY a)), k AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM n GROUP BY b)) SELECT round((c.s - r.s * k.s / (c.n * (c.n - 1) / 2)) / ((r.s + k.s) / 2 - r.s * k.s / (c.n * (c.n - 1) / 2)), 6) AS ari FROM c, r, k")
+def adjusted_rand(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", (F.col("vec_id") % 7).alias("b"))
+    return quality.adjusted_rand(t, "label", "b").select(six("ari"))
+
+
+@query("WITH t AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.id, a.label, b.label AS other, greatest(list_inner_product(a.e, a.e) + list_inner_product(b.e, b.e) - 2 * list_inner_product(a.e, b.e), 0) AS d FROM t a, t b WHERE a.id <> b.id), m AS (SELECT id, label, other, avg(d) AS m FROM p GROUP BY id, label, other), s AS (SELECT id, label, min(CASE WHEN other <> label THEN m END) AS b, max(CASE WHEN other = label THEN m END) AS a FROM m GROUP BY id, label) SELECT label, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s GROUP BY label")
+def silhouette(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = t.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    return quality.silhouette(rows).select("label", six("silhouette"))
+
+
+# No SQL form ---------------------------------------------------------------------------------------------------------
+
+
+@query()
+def knn_approx(spark, sf_dir):
+    return knn.published(knn.approximate(emb(spark, sf_dir))).select("src", "rank", "dst", six("dist"))
+
+
+@query()
+def partitions(spark, sf_dir):
+    v = emb(spark, sf_dir)
+    return labelprop.partitions(mst.stored(fuzzy.symmetrised(fuzzy_edges(spark, sf_dir))), v.select("id"), 32)
+
+
+@query()
+def node_layout(spark, sf_dir):
+    v = emb(spark, sf_dir)
+    return layout.embed(fuzzy.symmetrised(fuzzy_edges(spark, sf_dir)), v.select("id"), 4, 10)
+
+
+def fitted(spark, sf_dir, **options):
+    b = vectors.blobs(spark, sf_dir)
+    return estimator.cluster(b.select("id", "vec"), n_epochs=20, **options), b
+
+
+@query()
+def fit_layers(spark, sf_dir):
+    out, _ = fitted(spark, sf_dir)
+    return out.layers.select("layer", "id", "label", six("strength"))
+
+
+@query()
+def fit_n_clusters(spark, sf_dir):
+    out, _ = fitted(spark, sf_dir, approx_n_clusters=10)
+    return out.scores
