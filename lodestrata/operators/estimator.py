@@ -16,6 +16,8 @@ from lodestrata.operators import fuzzy, hierarchy, knn, labelprop, layout, mst,
 
 #: Rows of a spanning tree that one task turns into a hierarchy (24 bytes an edge).
 HIERARCHY_ROWS = 20_000_000
+#: Epochs of the layout of parts from which the layout of rows starts.
+COARSE_EPOCHS = 50
 
 
 @dataclass
@@ -75,11 +77,11 @@ def cluster(df: DataFrame, metric: str = "cosine", noise_level: float = 0.5, bas
         first = principal(centre.collect(), dims)  # at most 16384 parts
         places = df.sparkSession.createDataFrame(first, "part long, pos array<double>")
         small = labelprop.coarse(edges, parts)
-        placed = layout.embed(small.where("src <> dst"), parts.select(F.col("part").alias("id")).distinct(), dims, n_epochs, places.select(F.col("part").alias("id"), "pos"), 0.001 * n_epochs, noise_level, random_state)
-        start = labelprop.expanded(edges, parts, placed.select(F.col("id").alias("part"), "pos"))
+        placed = layout.embed(small.where("src <> dst"), parts.select(F.col("part").alias("id")).distinct(), dims, COARSE_EPOCHS, places.select(F.col("part").alias("id"), "pos"), 0.001 * COARSE_EPOCHS, noise_level, random_state)
+        start = halved(labelprop.expanded(edges, parts, placed.select(F.col("id").alias("part"), "pos")), dims)
     elif node_embedding_init not in (None, "label_prop"):
         raise ValueError(f"unknown initialisation {node_embedding_init!r}")
-    placed = mst.stored(layout.embed(edges, nodes, dims, n_epochs, start, 0.5, noise_level, random_state))
+    placed = mst.stored(layout.embed(edges, nodes, dims, n_epochs, start, 0.1, noise_level, random_state))
     tree = mst.stored(mst.spanning_tree(placed.select("id", F.col("pos").alias("vec")), min_samples))
     if n > HIERARCHY_ROWS:
         raise ValueError(f"{n} rows; the hierarchy takes at most {HIERARCHY_ROWS}")
@@ -88,6 +90,12 @@ def cluster(df: DataFrame, metric: str = "cosine", noise_level: float = 0.5, bas
     return Result(whole.drop("persistence"), scores, graph, knn.duplicates(graph), placed, tree)
 
 
+def halved(places: DataFrame, dims: int) -> DataFrame:
+    """(id, pos) moved to mean 0 and halved."""
+    centre = places.agg(F.array(*[F.avg(F.col("pos")[i]) for i in range(dims)]).alias("mean"))
+    return places.join(F.broadcast(centre)).select("id", F.transform("pos", lambda x, i: (x - F.col("mean")[i]) / 2).alias("pos"))  # one row
+
+
 def principal(rows: list, dims: int) -> list[tuple[int, list[float]]]:
     """Principal components of part centroids, centred and scaled to half-range 1 (missing components are 0)."""
     rows = sorted(rows, key=lambda r: r["part"])

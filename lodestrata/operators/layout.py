@@ -14,6 +14,8 @@ from lodestrata.operators.mst import stored
 BROADCAST_NODES = 1_000_000
 #: Edges up to which one task runs all epochs.
 LOCAL_EDGES = 2_000_000
+#: Intervals of an edge between its repulsions.
+REPULSION = 1.5
 
 
 def unit_noise(ids: np.ndarray, salt: int, width: int) -> np.ndarray:
@@ -28,8 +30,9 @@ def unit_noise(ids: np.ndarray, salt: int, width: int) -> np.ndarray:
 def moves(a: np.ndarray, b: np.ndarray, noise_level: float) -> np.ndarray:
     """Attraction of places a towards b."""
     d2 = ((a - b) ** 2).sum(axis=1)
-    coef = np.where(d2 > 0, (-2 * noise_level * d2 - 2) / (2 * d2 * d2 - 0.5 * d2 + 1), 0.0)
-    return np.clip(coef[:, None] * (a - b), -4, 4)
+    d = np.sqrt(d2)
+    coef = np.where(d2 > 0, (-2 * noise_level * d - 2) / (2 * d2 - 0.5 * d + 1), 0.0)
+    return coef[:, None] * (a - b)
 
 
 def pushes(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
@@ -39,27 +42,35 @@ def pushes(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.clip(coef[:, None] * (a - b), -4, 4)
 
 
+def pushed(epoch: np.ndarray | int, every: np.ndarray) -> np.ndarray:
+    """Repulsions an edge has had by an epoch: one for each 1.5 intervals after the first."""
+    return np.maximum(np.floor(epoch / (REPULSION * every)) - 1, 0)
+
+
 def epoch_moves(ids: np.ndarray, pos: np.ndarray, src: np.ndarray, dst: np.ndarray, every: np.ndarray, epoch: int, gamma: float, noise_level: float, seed: int) -> np.ndarray:
     """Summed moves of all nodes by the edges due in an epoch (src and dst are places in ids)."""
     total = np.zeros_like(pos)
-    due = np.floor((epoch + 1) / every) > np.floor(epoch / every)
-    src, dst = src[due], dst[due]
-    if not len(src):
+    nth = np.floor(epoch / every)
+    due = nth > np.floor((epoch - 1) / every)
+    if not due.any():
         return total
+    src, dst, every, nth = src[due], dst[due], every[due], nth[due]
     step = moves(pos[src], pos[dst], noise_level)
+    times = pushed(epoch, every) - np.where(nth > 1, pushed(np.ceil((nth - 1) * every), every), 0)
     key = ids[src] * np.int64(1_000_003) + ids[dst]
-    other = (unit_noise(key, seed + epoch + 1, 1)[:, 0] * len(ids)).astype(np.int64)
-    step += np.where((other != src)[:, None], pushes(pos[src], pos[other], gamma), 0.0)
+    draws = unit_noise(key, seed + epoch + 1, int(times.max()))
+    for k in range(draws.shape[1]):
+        at = np.flatnonzero(times > k)
+        step[at] += pushes(pos[src[at]], pos[(draws[at, k] * len(ids)).astype(np.int64)], gamma)
     for k in range(pos.shape[1]):
         total[:, k] = np.bincount(src, step[:, k], len(ids))
     return total
 
 
 def advance(pos: np.ndarray, momentum: np.ndarray, delta: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    delta = np.round(delta, 9)  # the order of sums must not show
-    scale = np.maximum(1.0, np.linalg.norm(delta, axis=1, keepdims=True) / 4)
-    momentum = momentum * ((1 - rate) ** 2 * 0.5) + delta / scale
-    return pos + rate * momentum, momentum
+    """Positions after an epoch, and the part of its moves that the next epoch repeats."""
+    step = momentum + rate * np.round(delta, 9)  # the order of sums must not show
+    return pos + step, step * ((1 - rate) ** 2 * 0.5)
 
 
 def embed(edges: DataFrame, nodes: DataFrame, dims: int, epochs: int = 50, start: DataFrame | None = None, alpha: float = 0.5, noise_level: float = 0.5, seed: int = 42) -> DataFrame:
@@ -81,7 +92,7 @@ def embed(edges: DataFrame, nodes: DataFrame, dims: int, epochs: int = 50, start
         return spark.createDataFrame([(int(i), [float(v) for v in p]) for i, p in zip(ids, pos, strict=True)], "id long, pos array<double>")
     edges = stored(edges.select("src", "dst", (1 / F.greatest(F.col("weight") / top, F.lit(1.0 / epochs))).alias("every")))
     gammas = [0.5 + e / max(1, epochs - 1) for e in range(epochs)]
-    rates = [alpha * (1 - e / epochs) for e in range(epochs)]
+    rates = [alpha * (1 - max(e - 1, 0) / epochs) for e in range(epochs)]
     if edges.count() <= LOCAL_EDGES:
         begin = spark.sparkContext.broadcast((ids, pos))
 
