@@ -6,7 +6,9 @@ names the language. A text is rejected if its cosine is far below that of traini
 has no letter.
 
 Learning reads only training rows: document frequencies over all of them, centroids from a sample of at most about
-``SAMPLE`` of them (a documented bound), chosen by a hash of the text.
+``SAMPLE`` of them (a documented bound), chosen by a hash of the text. Rows with equal n-gram counts and language are
+one row of that sample, so copies can't swell it, and k-means runs in one task for each language; the driver gets
+centroids and one cosine a row.
 
 Defined results: null, empty and letterless texts are ``und``, score 0, rejected; with no training rows every text
 is; repeated rows give repeated results; an empty table gives an empty table; ties go to the first language by name.
@@ -14,13 +16,15 @@ is; repeated rows give repeated results; an empty table gives an empty table; ti
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestrata.llm import vec
-from lodestrata.llm.common import text_map
+from lodestrata.llm.common import stored, text_map
 
 DIM, SAMPLE, CENTROIDS, ROUNDS = 4096, 6000, 4, 12
 #: A text is rejected below this share of the 0.1 % quantile of training cosines in its size class.
@@ -113,14 +117,23 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sa
     rows = rows.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
 
     def make():
-        df_sum = np.zeros(DIM, np.int64)
+        df_sum, sent = np.zeros(DIM, np.int64), set()
 
         def kernel(texts, kept):
             nonlocal df_sum
             tf, letters = counts(texts)
             df_sum += (tf > 0).sum(axis=0)
-            own = [i for i, c in enumerate(kept["chosen"]) if c and letters[i]]
-            return {"lang": [kept["lang"][i] for i in own], "letters": letters[own], "slot": [None] * len(own), "n": [None] * len(own), "tf": [np.log1p(tf[i]).astype(np.float16).tobytes() for i in own]}
+            own, keys, rows = [], [], []
+            for i, c in enumerate(kept["chosen"]):
+                if c and letters[i]:
+                    row = np.log1p(tf[i]).astype(np.float16).tobytes()
+                    key = int.from_bytes(hashlib.blake2b(row, digest_size=8).digest(), "little", signed=True)
+                    if (kept["lang"][i], key) not in sent:  # as many as the sample has vectors
+                        sent.add((kept["lang"][i], key))
+                        own.append(i)
+                        keys.append(key)
+                        rows.append(row)
+            return {"lang": [kept["lang"][i] for i in own], "letters": letters[own], "slot": [None] * len(own), "n": keys, "tf": rows}
 
         def finish():
             slots = np.flatnonzero(df_sum)
@@ -129,31 +142,39 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sa
         kernel.finish = finish
         return kernel
 
-    from lodestrata.llm.common import stored
-
     out = stored(text_map(rows, "lang string, letters bigint, slot int, n bigint, tf binary", make, "text", ("lang", "chosen")), "langid-fit")
     freq = np.zeros(DIM)
     for r in out.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         freq[r["slot"]] = r["n"]
     idf = (np.log((1 + total) / (1 + freq)) + 0.1).astype(np.float32)
-    got = out.where("tf is not null").select("lang", "letters", "tf").orderBy("lang", "tf").collect()  # at most about `sample` rows
+    shared = df.sparkSession.sparkContext.broadcast(idf)
+
+    def learn(table: pa.Table) -> pa.Table:
+        """Centroids of one language, and the best cosine of each of its rows."""
+        order = sorted(zip(table.column("tf").to_pylist(), table.column("letters").to_pylist(), strict=True))
+        x = np.stack([np.frombuffer(t, np.float16) for t, _ in order]).astype(np.float32)
+        x *= shared.value
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-12))
+        c = spherical_kmeans(x, centroids).astype(np.float32)
+        best = (x @ c.T).max(axis=1)
+        sizes = size_class(np.array([n for _, n in order]))
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()], pa.string()), "centroids": pa.array([c.tobytes()], pa.binary()), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64())), "best": pa.array([best.astype(float).tolist()], pa.list_(pa.float64()))})
+
+    vectors_by = out.where("tf is not null").dropDuplicates(["lang", "n"]).select("lang", "letters", "tf")
+    learned = vectors_by.groupBy("lang").applyInArrow(learn, "lang string, centroids binary, sizes array<bigint>, best array<double>")
     names, vectors, floors = [], [], [[] for _ in range(16)]
-    by: dict[str, list] = {}
-    for r in got:
-        by.setdefault(r["lang"], []).append(r)
-    for name in sorted(by):
-        x = unit(np.stack([np.frombuffer(r["tf"], np.float16) for r in by[name]]).astype(np.float32) * idf)
-        c = spherical_kmeans(x, centroids)
-        names += [name] * len(c)
+    for r in sorted(learned.collect(), key=lambda r: r["lang"]):  # one row by language
+        c = np.frombuffer(r["centroids"], np.float32).reshape(-1, DIM)
+        names += [r["lang"]] * len(c)
         vectors.append(c)
-        for size, s in zip(size_class(np.array([r["letters"] for r in by[name]])).tolist(), (x @ c.T).max(axis=1).tolist(), strict=True):
+        for size, s in zip(r["sizes"], r["best"], strict=True):
             floors[size].append(s)
     if not names:
         return Model(idf, np.zeros((0, DIM), np.float32), [], np.zeros(16))
     known = [(i, REJECT * float(np.quantile(f, 0.001))) for i, f in enumerate(floors) if len(f) >= 20]
     # a size class with few training texts takes the floor of the nearest smaller one, else none
     floor = np.array([max((k for k in known if k[0] <= i), default=(0, 0.0))[1] for i in range(16)])
-    return Model(idf, np.vstack(vectors).astype(np.float32), names, floor)
+    return Model(idf, np.vstack(vectors), names, floor)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
