@@ -67,6 +67,39 @@ def silhouette(df: DataFrame) -> DataFrame:
     return s.groupBy("label").agg(F.avg(value).alias("silhouette"))
 
 
+def clustering_score(pairs: DataFrame, label: str, truth: str) -> DataFrame:
+    """One row, score: cube root of (ARI squared x share of rows that are not noise), ARI over the latter."""
+    ari = adjusted_rand(pairs.where(F.col(label) >= 0), label, truth)
+    return ari.crossJoin(clustered_share(pairs, label)).select(F.cbrt(F.col("ari") * F.col("ari") * F.col("share")).alias("score"))  # two single rows
+
+
+def separation(df: DataFrame) -> DataFrame:
+    """One row (calinski_harabasz, davies_bouldin) over (id, vec, label >= 0).
+
+    Fewer than two clusters give nulls; clusters without spread give a Calinski-Harabasz index of 1; clusters with
+    the same centre are not compared.
+    """
+    from lodestrata.functions.metrics import squared_distance
+
+    rows = df.where("label >= 0").select("vec", "label")
+    sums = rows.select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    centres = sums.groupBy("label").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("t"))
+    centres = centres.select("label", "n", F.transform("t", lambda s: s["x"] / F.col("n")).alias("centre"))
+    whole = sums.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("m"))
+    whole = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("whole"))
+    gap = squared_distance(F.col("vec"), F.col("centre"))
+    spread = rows.join(centres.select("label", "centre"), "label").groupBy("label").agg(F.sum(gap).alias("within"), F.avg(F.sqrt(gap)).alias("s"))
+    stats = centres.join(spread, "label").crossJoin(whole)  # one row
+    total = stats.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("within").alias("w"), F.sum(F.col("n") * squared_distance(F.col("centre"), F.col("whole"))).alias("b"))
+    a = stats.select(F.col("label").alias("a"), F.col("s").alias("sa"), F.col("centre").alias("ca"))
+    b = stats.select(F.col("label").alias("b"), F.col("s").alias("sb"), F.col("centre").alias("cb"))
+    apart = F.sqrt(squared_distance(F.col("ca"), F.col("cb")))
+    ratio = F.when(apart > 0, (F.col("sa") + F.col("sb")) / apart).otherwise(0.0)
+    worst = a.join(b, F.col("a") != F.col("b")).groupBy("a").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))  # clusters only, no rows
+    index = F.when(F.col("k") < 2, None).when(F.col("w") == 0, 1.0).otherwise(F.col("b") * (F.col("n") - F.col("k")) / (F.col("w") * (F.col("k") - 1)))
+    return total.crossJoin(worst).select(index.alias("calinski_harabasz"), "davies_bouldin")  # two single rows
+
+
 def cluster_tree(layers: DataFrame) -> DataFrame:
     """(parent_layer, parent_cluster, child_layer, child_cluster) from (layer, id, label), layer 0 finest.
 

@@ -214,7 +214,7 @@ def strengths(spark, sf_dir):
     return table(spark, [(i, float(round(v, 6)), bool(n < 0)) for i, (v, n) in enumerate(zip(s, label, strict=True))], "i long, strength double, noise boolean")
 
 
-@query("SELECT * FROM (VALUES (0.60577, 1), (0.63712, 1), (1.0, 2), (1.15385, 1), (1.5, 1), (2.625, 1), (2.83333, 1), (4.16667, 1)) AS t(score, n)")
+@query("SELECT CAST(score AS DOUBLE) AS score, n FROM (VALUES (0.60577, 1), (0.63712, 1), (1.0, 2), (1.15385, 1), (1.5, 1), (2.625, 1), (2.83333, 1), (4.16667, 1)) AS t(score, n)")
 def eom_scores(spark, sf_dir):
     scores = hierarchy.node_scores(hierarchy.condense(line_linkage(), 2))
     return table(spark, [(float(round(v, 5)),) for v in scores.values()], "score double").groupBy("score").agg(F.count(F.lit(1)).cast("int").alias("n"))
@@ -272,6 +272,19 @@ def silhouette(spark, sf_dir):
     return quality.silhouette(rows).select("label", six("silhouette"))
 
 
+@query("WITH t AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT id, label, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM t), m AS (SELECT label, i, avg(v) AS m, count(*) AS n FROM x GROUP BY label, i), g AS (SELECT i, avg(v) AS g FROM x GROUP BY i), b AS (SELECT sum(n * (m - g) * (m - g)) AS b FROM m JOIN g USING (i)), d AS (SELECT x.id, x.label, sum((v - m) * (v - m)) AS d FROM x JOIN m ON x.label = m.label AND x.i = m.i GROUP BY x.id, x.label), s AS (SELECT label, avg(sqrt(d)) AS s, sum(d) AS w, count(*) AS n FROM d GROUP BY label), c AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS c FROM m a JOIN m b ON a.i = b.i AND a.label <> b.label GROUP BY a.label, b.label), r AS (SELECT a, max((x.s + y.s) / c) AS r FROM c JOIN s x ON x.label = a JOIN s y ON y.label = b GROUP BY a) SELECT round((SELECT b FROM b) * (sum(n) - count(*)) / (sum(w) * (count(*) - 1)), 6) AS calinski_harabasz, (SELECT round(avg(r), 6) FROM r) AS davies_bouldin FROM s")
+def separation(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = t.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    return quality.separation(rows).select(six("calinski_harabasz"), six("davies_bouldin"))
+
+
+@query("WITH p AS (SELECT CAST(vec_id % 7 AS INTEGER) - 1 AS a, label AS b FROM embeddings), t AS (SELECT * FROM p WHERE a >= 0), n AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS n FROM t GROUP BY a, b), c AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS n FROM n), r AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM n GROUP BY a)), k AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM n GROUP BY b)), i AS (SELECT (c.s - r.s * k.s / (c.n * (c.n - 1) / 2)) / ((r.s + k.s) / 2 - r.s * k.s / (c.n * (c.n - 1) / 2)) AS ari FROM c, r, k) SELECT round(cbrt(ari * ari * (SELECT avg(CASE WHEN a >= 0 THEN 1.0 ELSE 0.0 END) FROM p)), 6) AS score FROM i")
+def clustering_score(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(((F.col("vec_id") % 7).cast("int") - 1).alias("a"), F.col("label").alias("b"))
+    return quality.clustering_score(t, "a", "b").select(six("score"))
+
+
 # No SQL form ---------------------------------------------------------------------------------------------------------
 
 

@@ -126,3 +126,14 @@ def test_agreement_measures(spark):
     assert quality.adjusted_rand(t, "a", "b").first()[0] == 1.0
     assert quality.adjusted_mutual_information(t, "a", "b") == pytest.approx(1.0)
     assert len(LINE) == 17 and F is not None
+
+
+def test_separation_by_hand(spark):
+    rows = [(0, [0.0, 0.0], 0), (1, [0.0, 2.0], 0), (2, [6.0, 0.0], 1), (3, [6.0, 2.0], 1), (4, [99.0, 99.0], -1)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    index, ratio = quality.separation(df).first()
+    assert index == pytest.approx(36 * 2 / 4) and ratio == pytest.approx(2 / 6)
+    assert tuple(quality.separation(df.where("label < 1")).first()) == (None, None)
+    assert tuple(quality.separation(df.where("id in (0, 2)")).first()) == (1.0, 0.0)
+    t = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (-1, 1)], "a int, b int")
+    assert quality.clustering_score(t, "a", "b").first()[0] == pytest.approx(0.75 ** (1 / 3))
