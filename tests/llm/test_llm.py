@@ -206,3 +206,16 @@ def test_odd_rows_and_empty_tables(spark):
         assert corpus_pipeline.deduplicate(spark, d, SF).columns == d.columns
         assert corpus_pipeline.decontaminate(spark, d, SF).count() == n
         assert corpus_pipeline.remove_pii(spark, d, SF).count() == n
+
+
+def test_copies_do_not_swell_the_language_sample(spark, monkeypatch):
+    kept = []
+    stored = langid.stored
+    monkeypatch.setattr(langid, "stored", lambda df, what: kept.append(stored(df, what)) or kept[-1])
+    words = [f"the river number {i} runs past the old mill" for i in range(40)]
+    rows = [(i, words[i % 40], "en") for i in range(4000)] + [(9000 + i, f"der alte fluss fliesst durch das tal {i}", "de") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(d, F.lit(True), sample=40_000)
+    assert kept[0].where("tf is not null").count() <= 3 * 60
+    got = langid.identify(d, model, keep=("doc_id", "lang"))
+    assert got.where("lang != lang_pred").count() == 0 and got.count() == 4020
