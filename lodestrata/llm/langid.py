@@ -2,8 +2,8 @@
 
 A text is a vector of hashed 1- to 3-grams of its letters (word boundaries count as one blank), weighted
 log(1 + tf) * idf and normalised. Each language has several centroids from spherical k-means; the nearest by cosine
-names the language. A text is rejected if its cosine is far below that of training texts of about its size, or if it
-has no letter.
+names the language. A text is rejected if its cosine is far below that of held-out training texts of about its size
+or not clearly above what hash collisions give a text in unknown letters of that size, or if it has no letter.
 
 Learning reads only training rows: document frequencies over all of them, centroids from a sample of at most about
 ``SAMPLE`` of them (a documented bound), chosen by a hash of the text. Rows with equal n-gram counts and language are
@@ -27,8 +27,9 @@ from lodestrata.llm import vec
 from lodestrata.llm.common import stored, text_map
 
 DIM, SAMPLE, CENTROIDS, ROUNDS = 4096, 6000, 4, 12
-#: A text is rejected below this share of the 0.1 % quantile of training cosines in its size class.
-REJECT = 0.35
+#: A text is rejected below this share of the 5 % quantile of held-out training cosines in its size class (some per cent
+#: of training rows can be junk), and below this multiple of the cosine of texts of random letters.
+REJECT, COLLISION = 0.35, 1.15
 
 
 def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,8 +45,11 @@ def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep = letter.copy()
     keep[:-1] |= letter[1:]  # the character before a word stands for its boundary
     keep[1:] |= letter[:-1]
-    c = np.where(letter, lower[at], 32).astype(np.uint64)[keep]
-    doc = doc[keep]
+    return grams(np.where(letter, lower[at], 32).astype(np.uint64)[keep], doc[keep], len(texts)), letters
+
+
+def grams(c: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """texts x DIM counts of hashed n-grams of characters c of the texts doc."""
     n = len(c)
     h = c + np.uint64(1)
     idx = []
@@ -55,8 +59,8 @@ def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         same = doc[: len(h)] == doc[size - 1 : size - 1 + len(h)] if len(h) else np.zeros(0, bool)
         slot = (vec.mix(h) >> np.uint64(64 - 12)).astype(np.int64)
         idx.append((doc[: len(h)] * DIM + slot)[same])
-    flat = np.bincount(np.concatenate(idx), minlength=len(texts) * DIM)
-    return flat.reshape(len(texts), DIM), letters
+    flat = np.bincount(np.concatenate(idx), minlength=texts * DIM)
+    return flat.reshape(texts, DIM)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -101,6 +105,38 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
+def collisions(idf: np.ndarray, centroids: np.ndarray, draws: int = 32) -> np.ndarray:
+    """Cosine, by size class, of texts of random letters: in alphabets that no text has (only hashes and blanks can
+    agree), and a to z.
+
+    The 98 % quantile of the draws (below 16 letters, where clean texts lie as low, their median) of the alphabet where
+    it is largest, at least that of smaller size classes.
+    """
+    rng = np.random.Generator(np.random.PCG64(7))
+    top = np.zeros(16)
+    for size in range(16):
+        letters = 2 ** (size + 1) - 1 if size < 15 else 2**18  # the last class has no upper end
+        for alphabet in (24, 32, 2000, 26):
+            found = []
+            for _ in range(draws if size < 10 else 1):  # long texts hardly differ
+                base = 97 if alphabet == 26 else 0x110000 + int(rng.integers(1 << 40))  # behind the last character
+                c = rng.integers(base, base + alphabet, letters).astype(np.uint64)
+                ends = np.cumsum(rng.integers(2, 9, letters // 2 + 1))
+                c = np.concatenate([[np.uint64(32)], np.insert(c, ends[ends < letters], 32), [np.uint64(32)]])
+                x = unit(np.log1p(grams(c, np.zeros(len(c), np.int64), 1)).astype(np.float32) * idf)
+                found.append(float((x @ centroids.T).max()))
+            top[size] = max(top[size], float(np.quantile(found, 0.98 if size >= 4 else 0.5)))
+    return np.maximum.accumulate(top)
+
+
+def floors_of(held: list[list[float]], collide: np.ndarray) -> np.ndarray:
+    """Cosine by size class below which a text is rejected, from held-out training cosines and those of collisions."""
+    known = [(i, REJECT * float(np.quantile(f, 0.05))) for i, f in enumerate(held) if len(f) >= 20]
+    # a size class with few training texts takes the share of the nearest smaller one; collisions bound every class
+    share = [max((k for k in known if k[0] <= i), default=(0, 0.0))[1] for i in range(16)]
+    return np.maximum(share, COLLISION * collide)
+
+
 def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learn from the rows of ``df`` where ``train`` holds and text and language are not null."""
     rows = df.where(train & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -150,13 +186,16 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sa
     shared = df.sparkSession.sparkContext.broadcast(idf)
 
     def learn(table: pa.Table) -> pa.Table:
-        """Centroids of one language, and the best cosine of each of its rows."""
+        """Centroids of one language, and the best cosine of each of its rows with centroids of the other half."""
         order = sorted(zip(table.column("tf").to_pylist(), table.column("letters").to_pylist(), strict=True))
         x = np.stack([np.frombuffer(t, np.float16) for t, _ in order]).astype(np.float32)
         x *= shared.value
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-12))
         c = spherical_kmeans(x, centroids).astype(np.float32)
-        best = (x @ c.T).max(axis=1)
+        best = np.zeros(len(x))
+        for half in (0, 1) if len(x) > 1 else ():
+            other = spherical_kmeans(x[1 - half :: 2], centroids).astype(np.float32)
+            best[half::2] = (x[half::2] @ other.T).max(axis=1)
         sizes = size_class(np.array([n for _, n in order]))
         return pa.table({"lang": pa.array([table.column("lang")[0].as_py()], pa.string()), "centroids": pa.array([c.tobytes()], pa.binary()), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64())), "best": pa.array([best.astype(float).tolist()], pa.list_(pa.float64()))})
 
@@ -171,10 +210,8 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sa
             floors[size].append(s)
     if not names:
         return Model(idf, np.zeros((0, DIM), np.float32), [], np.zeros(16))
-    known = [(i, REJECT * float(np.quantile(f, 0.001))) for i, f in enumerate(floors) if len(f) >= 20]
-    # a size class with few training texts takes the floor of the nearest smaller one, else none
-    floor = np.array([max((k for k in known if k[0] <= i), default=(0, 0.0))[1] for i in range(16)])
-    return Model(idf, np.vstack(vectors), names, floor)
+    vectors = np.vstack(vectors)
+    return Model(idf, vectors, names, floors_of(floors, collisions(idf, vectors)))
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -219,3 +219,18 @@ def test_copies_do_not_swell_the_language_sample(spark, monkeypatch):
     assert kept[0].where("tf is not null").count() <= 3 * 60
     got = langid.identify(d, model, keep=("doc_id", "lang"))
     assert got.where("lang != lang_pred").count() == 0 and got.count() == 4020
+
+
+def test_foreign_texts_of_all_lengths_are_rejected(spark):
+    rng = np.random.default_rng(5)
+    scripts = {"cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "arabic": range(0x627, 0x64B), "cjk": range(0x4E00, 0x5600), "consonants": [ord(c) for c in "bcdfghjklmnpqrstvwxz"]}
+    foreign = [(n, s, " ".join("".join(chr(c) for c in rng.choice(list(cp), rng.integers(2, 9))) for _ in range(n))) for n in (10, 60, 400, 3000) for s, cp in scripts.items()]
+    for sf in ("sf0.001", "sf0.01"):
+        d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        model = langid.fit(d, ~held_out(F.col("doc_id")))
+        assert (model.floor > 0).all()
+        _, _, rejected = model.predict([t for *_, t in foreign])
+        assert [f[:2] for f, r in zip(foreign, rejected, strict=True) if not r] == []
+        real = [r["text"] for r in d.where(held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("text").collect()]
+        _, _, rejected = model.predict([t for t in real if sum(map(str.isalpha, t)) >= 16])
+        assert rejected.mean() < 0.005
