@@ -1,7 +1,7 @@
 """Toxicity (op 1): noisy-channel restoration of obfuscated words, then a score of the restored text.
 
 A character trigram model is counted over every text of the corpus. Places that look obfuscated (digits or signs
-among letters, single characters with separators, letters repeated three times or more) become lattices: a sign may
+before, among or behind letters, single characters with separators, letters repeated three times or more) become lattices: a sign may
 stand for letters or for itself, a separator may part or join, a repeated letter may be dropped. The Viterbi path
 under model and channel costs replaces the place. All other text has a lattice with one path, which is itself.
 
@@ -36,13 +36,14 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 # spaced letters, a repeated letter dropped or kept.
 SIGN, PLAIN, JOIN, PART, DROP, REPEAT = 0.7, 2.0, 0.1, 3.0, 0.2, 1.5
 
-#: Longest place that is restored, in characters, after runs of one character are cut to four.
+#: Longest place whose restored form is remembered, in characters, after runs of one character are cut to four.
 LONGEST = 32
 
 _ONE = r"(?:[^\W\d_]|[0-9@$!])"
-_SPACED = re.compile(rf"(?<![^\W_]){_ONE}(?:[ .\-_*]{{1,2}}{_ONE}){{3,15}}(?![^\W_])")
+_SPACED = re.compile(rf"(?<![^\W_]){_ONE}(?:[ .\-_*]{{1,2}}{_ONE}){{3,}}(?![^\W_])")
 _TOKEN = re.compile(r"[\w@$!|+(€£]+")
 _INNER = re.compile(r"[0-9@$!|+(€£][^\W\d_]")
+_BEHIND = re.compile(r"[^\W\d_][0-9@$!|+(€£]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _RUN = re.compile(r"(.)\1{3,}", re.S)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -93,7 +94,7 @@ class Restorer:
     def decode(self, place: str) -> str:
         place = _RUN.sub(lambda m: m[1] * 4, place.lower())
         if len(place) > LONGEST:
-            return place
+            return self.viterbi(place)
         if place not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
@@ -101,34 +102,47 @@ class Restorer:
         return self.known[place]
 
     def viterbi(self, place: str) -> str:
-        states = {(0, 0): (0.0, "")}
+        """The text of the least path, in time linear in the place: paths share their beginnings as linked pairs.
+
+        Signs behind the last letter are one boundary however many they are, as runs of boundaries are in the model.
+        """
+        states: dict = {(0, 0): (0.0, None)}
         before = ""
-        for c in place:
+        drops = bool(_TRIPLE.search(place)) or bool(_INNER.search(place))  # plain words with a sign behind keep doubled letters
+        tail = max((i + 1 for i, c in enumerate(place) if c.isalpha()), default=len(place))
+        for i, c in enumerate(place):
             if c in LEET:
                 options = [(x, SIGN) for x in LEET[c]] + [(c, PLAIN)]
             elif not c.isalnum():
                 options = [("", JOIN), (" ", PART)]
-            elif c == before:
+            elif c == before and drops:
                 options = [(c, REPEAT), ("", DROP)]
             else:
                 options = [(c, 0.0)]
+            again = c == before == "!" and i > tail  # a run of exclamation marks is one sign as itself
             before = c
             then: dict = {}
             for (a, b), (total, out) in states.items():
                 for x, channel in options:
-                    if x:
-                        s = symbol(x)
+                    s = symbol(x) if x else 0
+                    if x and (s or b or i < tail):
                         to, value = (b, s), total + channel + float(self.cost[a, b, s])
                     else:
-                        to, value = (a, b), total + channel
+                        to, value = (a, b), total + (0.0 if x and again else channel)
                     if to not in then or value < then[to][0]:
-                        then[to] = (value, out + x)
+                        then[to] = (value, (out, x))
             states = then
-        return min((v + float(self.cost[a, b, 0]), out) for (a, b), (v, out) in states.items())[1]
+        ends = [(v + (float(self.cost[a, b, 0]) if b or tail == len(place) else 0.0), out) for (a, b), (v, out) in states.items()]
+        least = min(v for v, _ in ends)
+        return min(spelled(out) for v, out in ends if v == least)
 
     def restore(self, text: str) -> str:
-        text = _SPACED.sub(lambda m: self.decode(m[0]), text)
-        return _TOKEN.sub(lambda m: self.decode(m[0]) if suspicious(m[0]) else m[0], text)
+        text = _SPACED.sub(lambda m: self.replaced(m[0]), text)
+        return _TOKEN.sub(lambda m: self.replaced(m[0]) if suspicious(m[0]) else m[0], text)
+
+    def replaced(self, place: str) -> str:
+        found = self.decode(place)
+        return place if found == place.lower() else found
 
     def restore_all(self, texts: list[str]) -> list[str]:
         """Only texts in which some place can look obfuscated are searched."""
@@ -138,7 +152,7 @@ class Restorer:
         letter = k == vec.LETTER
         sign = np.isin(cp, [ord(c) for c in LEET])
         flag = np.zeros(len(cp) + 1, bool)
-        flag[:-2] |= sign[:-1] & letter[1:]
+        flag[:-2] |= sign[:-1] & letter[1:] | letter[:-1] & sign[1:]
         low = lower[np.minimum(cp, vec._TOP - 1)]
         flag[:-3] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
         one = letter | sign
@@ -153,11 +167,19 @@ class Restorer:
         return [self.restore(t) if h else t for t, h in zip(texts, hit.tolist(), strict=True)]
 
 
+def spelled(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
+
+
 def suspicious(token: str) -> bool:
-    """Letters behind a digit or sign, or a letter three times; at least two letters."""
+    """A digit or sign behind a letter, or before one of at least two letters, or a letter three times."""
     if len(token) < 3:
         return False
-    return bool(_TRIPLE.search(token)) or bool(_INNER.search(token)) and len(_LETTER.findall(token)) >= 2
+    return bool(_TRIPLE.search(token)) or bool(_BEHIND.search(token)) or bool(_INNER.search(token)) and len(_LETTER.findall(token)) >= 2
 
 
 @dataclass

@@ -234,3 +234,14 @@ def test_foreign_texts_of_all_lengths_are_rejected(spark):
         real = [r["text"] for r in d.where(held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("text").collect()]
         _, _, rejected = model.predict([t for t in real if sum(map(str.isalpha, t)) >= 16])
         assert rejected.mean() < 0.005
+
+
+def test_places_of_any_length_and_trailing_signs_are_restored():
+    texts = ["you are a worthless idiot and a dumbass and an ass", "the garden was here with the people and the town"] * 200
+    r = toxicity.Restorer(toxicity.costs(toxicity.trigrams(texts, toxicity.symbol_table())))
+    spaced = " ".join("worthlessidiot" + "worthlessidiot")
+    wide = "  ".join("worthlessidiot")
+    got = r.restore_all([f"so {spaced} here", f"so {wide} here", "what a dumba55", "you a$$ there", "Hello! page2 and Town!!", "x" + "1d" * 100_000])
+    assert "".join(got[0].split()).count("worthlessidiot") == 2
+    assert "worthless" in got[1] and "idiot" in got[1]
+    assert got[2:5] == ["what a dumbass", "you ass there", "Hello! page2 and Town!!"]
