@@ -3,7 +3,8 @@
 Texts and templates are word sequences. Every run of ``GRAM`` words is hashed and the least hash of each ``WINDOW``
 neighbouring runs is a fingerprint, so any common stretch of GRAM + WINDOW - 1 words shares one. An inverted index of
 the templates' fingerprints (a few hundred entries) gives candidate diagonals; each group of near diagonals is aligned
-with its template in a band, and the path gives the matched words and the span in the text.
+with its template in a band, and the path gives the matched words and the span in the text. The words before and behind a
+match are searched for further copies.
 
 Defined results: null and empty texts have no match; repeated rows give repeated matches; an empty table gives an
 empty table; texts are scanned whole; of matches of several templates on one span the one with more matched words
@@ -12,6 +13,7 @@ stays, ties by template name.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from functools import lru_cache
 
 import numpy as np
@@ -132,6 +134,32 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return matched, first, last
 
 
+def copies(template: np.ndarray, text: np.ndarray, place: np.ndarray, shift: np.ndarray, coverage: float) -> list[tuple[int, int, int]]:
+    """(matched words, first and past-the-last word) of every copy, from fingerprints by place in the text."""
+    out, failed = [], []
+    parts = [(0, len(place), 0, len(text))]  # hits from, to; words from, to
+    while parts:
+        i, j, lo, hi = parts.pop()
+        while i < j:
+            s = int(shift[i])
+            k = bisect_right(failed, s)
+            if (k and s - failed[k - 1] <= BAND) or (k < len(failed) and failed[k] - s <= BAND // 2):
+                i += 1  # its band has been searched
+                continue
+            near = shift[i : min(j, int(np.searchsorted(place, place[i] + len(template) + BAND)))]
+            s = int(near[near >= s - BAND].min())
+            n, a, b = align(template, text[lo:hi], s - lo + BAND // 2)
+            if n >= coverage * len(template):
+                a, b = a + lo, b + lo
+                out.append((n, a, b))
+                parts.append((max(i, int(np.searchsorted(place, b))), j, b, hi))
+                parts.append((i, min(j, int(np.searchsorted(place, a - GRAM, "right"))), lo, a))
+                break
+            insort(failed, s)
+            i += 1
+    return out
+
+
 def matches(index: Index, texts: list[str], coverage: float = COVERAGE) -> list[tuple[int, str, float, int, int, int]]:
     """(text, template, coverage, matched words, start, end in code points) of every match."""
     w = vec.Words(texts)
@@ -145,18 +173,15 @@ def matches(index: Index, texts: list[str], coverage: float = COVERAGE) -> list[
     head = np.searchsorted(doc, np.arange(len(texts)))
     template = index.template[entry]
     shift = gram - head[own] - index.place[entry]
-    order = np.lexsort((shift, template, own))
+    order = np.lexsort((gram, template, own))
+    own, template, gram, shift = own[order], template[order], gram[order], shift[order]
+    place = gram - head[own]
+    edges = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (template[1:] != template[:-1])))
     found: list = []
-    last = None
-    for i in order.tolist():
-        key = (int(own[i]), int(template[i]))
-        if last and last[0] == key and shift[i] - last[1] <= BAND:
-            continue
-        last = (key, int(shift[i]))
-        d, t = key
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True):
+        d, t = int(own[lo]), int(template[lo])
         text = w.h[w.first[d] : w.first[d + 1]]
-        n, a, b = align(index.words[t], text, int(shift[i]) + BAND // 2)
-        if n >= coverage * len(index.words[t]):
+        for n, a, b in copies(index.words[t], text, place[lo:hi], shift[lo:hi], coverage):
             start, end = int(w.s[w.first[d] + a] - w.starts[d]), int(w.e[w.first[d] + b - 1] - w.starts[d])
             found.append((d, index.names[t], round(n / len(index.words[t]), 4), n, start, end))
     found.sort(key=lambda x: (x[0], -x[3], x[1], x[4]))

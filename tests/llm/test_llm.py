@@ -245,3 +245,13 @@ def test_places_of_any_length_and_trailing_signs_are_restored():
     assert "".join(got[0].split()).count("worthlessidiot") == 2
     assert "worthless" in got[1] and "idiot" in got[1]
     assert got[2:5] == ["what a dumbass", "you ass there", "Hello! page2 and Town!!"]
+
+
+def test_repeated_license_lines():
+    index = licenses.Index(licenses.TEMPLATES)
+    line = licenses.TEMPLATES["MIT-notice"]
+    for n in (2, 3, 40):
+        got = licenses.matches(index, [" ".join([line] * n)])
+        assert [(m[1], m[4], m[5]) for m in got] == [("MIT-notice", i * (len(line) + 1), i * (len(line) + 1) + len(line) - 1) for i in range(n)]
+    (a, b) = licenses.matches(index, [f"Licensed under a CC BY 4.0. {licenses.TEMPLATES['CC-BY-4.0']}"])
+    assert a[1] == b[1] == "CC-BY-4.0" and a[5] <= b[4]
