@@ -230,10 +230,9 @@ INTERVALS = "(18, 3.0, 7.0, 0.9), (19, 4.0, 7.0, 0.8), (20, 3.0, 4.0, 0.7), (21,
 
 @query(f"WITH t AS (SELECT * FROM (VALUES {INTERVALS}) AS t(c, birth, death, w)) SELECT CAST(s.birth AS DOUBLE) AS size, CAST(round(sum((t.death - t.birth) * t.w), 6) AS DOUBLE) AS persistence FROM (SELECT DISTINCT birth FROM t) s JOIN t ON s.birth >= t.birth AND s.birth < t.death GROUP BY s.birth")
 def total_persistence(spark, sf_dir):
-    """Interval stabbing as a range join on a table of clusters."""
-    t = spark.sql(f"SELECT c, CAST(birth AS DOUBLE) birth, CAST(death AS DOUBLE) death, CAST(w AS DOUBLE) w FROM VALUES {INTERVALS} AS t(c, birth, death, w)")
-    at = t.select(F.col("birth").alias("size")).distinct()
-    return at.join(t, (F.col("size") >= F.col("birth")) & (F.col("size") < F.col("death"))).groupBy("size").agg(F.round(F.sum((F.col("death") - F.col("birth")) * F.col("w")), 6).alias("persistence"))
+    rows = sorted(spark.sql(f"SELECT c, CAST(birth AS DOUBLE), CAST(death AS DOUBLE), CAST(w AS DOUBLE) FROM VALUES {INTERVALS} AS t(c, birth, death, w)").collect())  # six rows
+    births, deaths, lam = np.array([r[1:] for r in [rows[0], *rows]]).T  # the first stands for the root, which counts nowhere
+    return table(spark, [(float(x), float(round(v, 6))) for x, v in zip(*hierarchy.total_persistence(births, deaths, lam), strict=True)], "size double, persistence double")
 
 
 @query("SELECT * FROM (VALUES (3.0, 0.0), (4.0, 0.0), (7.0, 0.0)) AS t(size, zero)")
@@ -302,12 +301,13 @@ def partitions(spark, sf_dir):
 @query()
 def node_layout(spark, sf_dir):
     v = emb(spark, sf_dir)
-    return layout.embed(fuzzy.symmetrised(fuzzy_edges(spark, sf_dir)), v.select("id"), 4, 10)
+    g = knn.published(mst.stored(knn.exact(v)))
+    return layout.embed(fuzzy.symmetrised(fuzzy.memberships(g, fuzzy.bandwidths(g, 15))), v.select("id"), 4)
 
 
 def fitted(spark, sf_dir, **options):
     b = vectors.blobs(spark, sf_dir)
-    return estimator.cluster(b.select("id", "vec"), n_epochs=20, **options), b
+    return estimator.cluster(b.select("id", "vec"), **options), b
 
 
 @query()

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import estimator, fuzzy, hierarchy as H, knn, labelprop, layout, mst, quality
+from lodestrata.plans import catalogue
 from lodestrata.plans.catalogue import LINE, line_linkage
 from lodestrata.sources import vectors
 
@@ -137,3 +138,19 @@ def test_separation_by_hand(spark):
     assert tuple(quality.separation(df.where("id in (0, 2)")).first()) == (1.0, 0.0)
     t = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (-1, 1)], "a int, b int")
     assert quality.clustering_score(t, "a", "b").first()[0] == pytest.approx(0.75 ** (1 / 3))
+
+
+def test_queries_do_the_whole_job(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalogue.estimator, "cluster", lambda df, **options: seen.append(options))
+    catalogue.fitted(spark, SF)
+    assert "n_epochs" not in seen[0]
+    monkeypatch.setattr(catalogue.layout, "embed", lambda edges, nodes, dims, *more: seen.append((edges, more)))
+    catalogue.node_layout(spark, SF)
+    edges, more = seen[1]
+    assert more == ()  # the default epochs
+    g = knn.published(knn.exact(vectors.read(spark, f"{SF}/embeddings.parquet")))
+    want = fuzzy.symmetrised(fuzzy.memberships(g, fuzzy.bandwidths(g, 15)))
+    assert edges.count() == want.count() and edges.agg(F.sum("weight")).first()[0] == pytest.approx(want.agg(F.sum("weight")).first()[0])
+    monkeypatch.setattr(catalogue.hierarchy, "total_persistence", lambda *a: ([1.0], [2.0]))
+    assert [tuple(r) for r in catalogue.total_persistence(spark, SF).collect()] == [(1.0, 2.0)]
