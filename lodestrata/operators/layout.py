@@ -1,7 +1,7 @@
 """Node embedding: attraction along sampled edges, repulsion from hashed others, epoch by epoch.
 
-An epoch is one pass over edges in tasks: each reads a broadcast of the positions (4 to 15 numbers a node; up to
-BROADCAST_NODES nodes, larger graphs join positions to edges instead) and sums moves by node; a group-by adds them.
+An epoch is one pass over edges in tasks: each reads a broadcast of the positions (4 to 15 numbers a node) and sums moves
+by node; a group-by adds them. Graphs of more than BROADCAST_NODES nodes are refused.
 """
 
 from __future__ import annotations

@@ -154,3 +154,13 @@ def test_queries_do_the_whole_job(spark, monkeypatch):
     assert edges.count() == want.count() and edges.agg(F.sum("weight")).first()[0] == pytest.approx(want.agg(F.sum("weight")).first()[0])
     monkeypatch.setattr(catalogue.hierarchy, "total_persistence", lambda *a: ([1.0], [2.0]))
     assert [tuple(r) for r in catalogue.total_persistence(spark, SF).collect()] == [(1.0, 2.0)]
+
+
+def test_layout_limit_is_stated(spark, monkeypatch):
+    import pathlib
+
+    root = pathlib.Path(__file__).parent.parent
+    assert f"a fit takes at most {layout.BROADCAST_NODES:,} rows" in (root / "README.md").read_text() and "join positions" not in layout.__doc__
+    monkeypatch.setattr(layout, "BROADCAST_NODES", 3)
+    with pytest.raises(ValueError, match="at most 3"):
+        layout.embed(spark.createDataFrame([], "src long, dst long, weight double"), spark.range(4), 2)
