@@ -27,7 +27,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KNOWN = r"ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[A-Z0-9+/_-]{0,40}[a-z])(?=[a-z0-9+/_-]{0,40}[A-Z])[A-Za-z0-9+/_-]{32,}={0,2}"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}"
+# What a value of a kind must hold besides, tested on the whole value.
+HOLDS = {"opaque": ("[0-9]", "[a-z]", "[A-Z]")}
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24), ("known", KNOWN, 0, 1), ("opaque", OPAQUE, 0, 32))
 BASE = ("assign", "access", "hex")
 
@@ -38,10 +40,11 @@ def literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def candidates(text: str, rank: int, pattern: str, group: int, least: int) -> Column:
+def candidates(text: str, rank: int, pattern: str, group: int, least: int, holds: tuple[str, ...] = ()) -> Column:
     """Array of (start, rank, end, hash of the value, whether its characters vary enough) of one kind in ``text``."""
     p = literal(pattern)
     piece = "length(p.parts[s.i])"
+    whole = "".join(f" AND c.value RLIKE {literal(h)}" for h in holds)
     return F.expr(f"""
         CASE WHEN {text} RLIKE {p} THEN
         flatten(transform(array(named_struct('all', regexp_extract_all({text}, {p}, 0), 'value', regexp_extract_all({text}, {p}, {group}), 'parts', split({text}, {p}, -1))), p ->
@@ -51,7 +54,7 @@ def candidates(text: str, rank: int, pattern: str, group: int, least: int) -> Co
               (s, x) -> named_struct('i', s.i + 1, 'at', s.at + {piece} + length(x),
                 'out', concat(s.out, array(named_struct('start', s.at + {piece}, 'end', s.at + {piece} + length(x), 'value', p.value[s.i])))),
               s -> s.out),
-            c -> length(c.value) >= {least}),
+            c -> length(c.value) >= {least}{whole}),
             c -> named_struct('start', c.start, 'rank', {rank}, 'end', c.end, 'hash', sha2(c.value, 256),
                               'varied', size(array_distinct(split(c.value, ''))) >= {LIVE_CHARACTERS}))))
         ELSE CAST(array() AS {_CAND}) END""")
@@ -75,7 +78,7 @@ def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", repository:
     class: ``example`` (many owners), ``live`` (few owners, varied characters) or ``weak``.
     """
     base = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    parts = [candidates("t", i, pattern, group, least) for i, (_, pattern, group, least) in enumerate(KINDS)]
+    parts = [candidates("t", i, pattern, group, least, HOLDS.get(kind, ())) for i, (kind, pattern, group, least) in enumerate(KINDS)]
     found = base.select("doc_id", "repository", "owner", F.concat(*parts).alias("cands"), F.monotonically_increasing_id().alias("row"))
     found = stored(found, "secrets")  # text-free and small; scanned once
     counts = ownership(found, owners)

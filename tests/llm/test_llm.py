@@ -255,3 +255,10 @@ def test_repeated_license_lines():
         assert [(m[1], m[4], m[5]) for m in got] == [("MIT-notice", i * (len(line) + 1), i * (len(line) + 1) + len(line) - 1) for i in range(n)]
     (a, b) = licenses.matches(index, [f"Licensed under a CC BY 4.0. {licenses.TEMPLATES['CC-BY-4.0']}"])
     assert a[1] == b[1] == "CC-BY-4.0" and a[5] <= b[4]
+
+
+def test_opaque_tokens_are_judged_whole(spark):
+    rows = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "12345678", "abcdefghijklmABCDEFGHIJKLM" + "12345678", "abcdefghijklmnopqrstuvwxyz" * 2 + "12345678", "ghijklmnop1234" * 4 + "B"]
+    d = spark.createDataFrame([(i, f"x {t} y", f"s{i}") for i, t in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(d)).collect()}
+    assert got == {0: "opaque:2:62", 1: "opaque:2:36", 2: "", 3: "opaque:2:59"}
