@@ -6,12 +6,13 @@ names the language. A text is rejected if its cosine is far below that of held-o
 or not clearly above what hash collisions give a text in unknown letters of that size, or if it has no letter.
 
 Learning reads only training rows: document frequencies over all of them, centroids from a sample of at most about
-``SAMPLE`` of them (a documented bound), chosen by a hash of the text. Rows with equal n-gram counts and language are
+``SAMPLE`` of them (a documented bound) in at most ``LANGUAGES`` languages, chosen by a hash of the text. Rows with equal n-gram counts and language are
 one row of that sample, so copies can't swell it, and k-means runs in one task for each language; the driver gets
 centroids and one cosine a row.
 
 Defined results: null, empty and letterless texts are ``und``, score 0, rejected; with no training rows every text
-is; repeated rows give repeated results; an empty table gives an empty table; ties go to the first language by name.
+is; repeated rows give repeated results; an empty table gives an empty table; texts of any length are read whole; ties go
+to the first language by name; other columns are kept where asked, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestrata.llm import vec
-from lodestrata.llm.common import stored, text_map
+from lodestrata.llm.common import quoted, stored, text_map
 
 DIM, SAMPLE, CENTROIDS, ROUNDS = 4096, 6000, 4, 12
+#: Languages learned at most, those of most rows: more than have a two-letter code, so only junk labels go beyond it.
+LANGUAGES = 512
 #: A text is rejected below this share of the 5 % quantile of held-out training cosines in its size class (some per cent
 #: of training rows can be junk), and below this multiple of the cosine of texts of random letters.
 REJECT, COLLISION = 0.35, 1.15
@@ -137,11 +140,10 @@ def floors_of(held: list[list[float]], collide: np.ndarray) -> np.ndarray:
     return np.maximum(share, COLLISION * collide)
 
 
-def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
+def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES) -> Model:
     """Learn from the rows of ``df`` where ``train`` holds and text and language are not null."""
     rows = df.where(train & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    # Languages are few by nature; the largest 512 by rows are learned.
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(512).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     total = sum(sizes.values())
     if not total:
         return Model(np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), [], np.zeros(16))
@@ -214,16 +216,17 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sa
     return Model(idf, vectors, names, floors_of(floors, collisions(idf, vectors)))
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, lang_pred, score and rejected for every row."""
+def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The kept columns, lang_pred, score and rejected for every row; ``prefix`` goes before these three names, so that
+    kept columns may have them."""
     types = dict(df.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["lang_pred string, score double, rejected boolean"])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # fixed size: languages x centroids x DIM
+    names = [prefix + n for n in ("lang_pred", "score", "rejected")]
+    schema = ", ".join([f"{quoted(c)} {types[c]}" for c in keep] + [f"{quoted(n)} {k}" for n, k in zip(names, ("string", "double", "boolean"), strict=True)])
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: languages x centroids x DIM
 
     def make():
         def kernel(texts, kept):
-            names, score, rejected = shared.value.predict(texts)
-            return {**kept, "lang_pred": names, "score": score, "rejected": rejected}
+            return {**kept, **dict(zip(names, shared.value.predict(texts), strict=True))}
 
         return kernel
 

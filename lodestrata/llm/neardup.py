@@ -1,20 +1,23 @@
 """Near duplicates (op 10): improved consistent weighted sampling over TF-IDF shingles, banded, then verified.
 
-A text is the weighted set of its runs of five words, weight tf * idf, idf from hashed document frequencies over the
-whole corpus. Consistent weighted samples (Ioffe's form, in logarithms, with the random variates of a shingle read
-from a fixed table) agree for two texts with the probability of their weighted Jaccard similarity. Bands of samples
-make buckets; pairs of a bucket are compared by their samples and, if those leave a chance, by the exact weighted
-Jaccard similarity of the texts. Links of THRESHOLD or more make classes, by connected components.
-
-Groups of any size: exact copies are one node from the start. In a bucket of up to SMALL nodes all pairs are tested.
-In a larger one the least node is tested with all others, and classes are formed; then the nodes outside the bucket's
-largest class are tested with all its nodes of other classes, block by block, by exact similarities from matrix
-products, which return links only. Pairs within a class need no test and all others get one, so no link is left out,
-no task gathers a bucket, and the work follows the nodes that a group's leader doesn't catch.
-
-Defined results: every input row gets one row (repeated rows alike); the class id is the least id of the class; texts
-without a word are alike only if equal; null texts count as empty; rows with null ids join the class of their text;
-an empty table gives an empty table.
+A text is the weighted set of its runs of five words, weight tf * idf, idf from document frequencies over the whole
+corpus in a sketch of two hashed rows, less the noise that other shingles of a slot add. Consistent weighted samples
+(Ioffe's form, in logarithms, with the random variates of a shingle read from a fixed table) agree for two texts with
+the probability of their weighted Jaccard similarity. Bands of samples make buckets; pairs of a bucket are compared by
+their samples and, if those leave a chance, by the exact weighted Jaccard similarity of the texts. Links of THRESHOLD or
+more make classes, by connected components.
+
+A node is a word sequence, named by a 128-bit BLAKE2b digest, so exact copies are one node from the start and ids may be
+null or repeated. In a bucket of up to SMALL nodes all pairs are tested. In a larger one the least node is tested with
+all others, and classes are formed; then the nodes outside the bucket's largest class are tested with all its nodes of
+other classes, block by block, by exact similarities from matrix products, which return links only. Pairs within a class
+need no test and all others get one, so no link is left out, no task gathers a bucket, and the work follows the nodes
+that a group's leader doesn't catch. Joins on a node, bucket or class that many rows share deal its rows to parts.
+
+Defined results: every input row gets one row (repeated rows alike); the class id is the least id of the class, null if
+no row of it has one; texts without a word are alike only if equal; null texts count as empty; rows with null ids join
+the class of their text, and texts that share an id are kept apart; texts of any length are read whole; other columns
+are not read, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,23 +28,23 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from lodestrata.llm import vec
-from lodestrata.llm.common import slices, stored, text_map
+from lodestrata.llm.common import forget, quoted, slices, spread_join, stored, text_map
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 #: Pairs that agree in fewer samples are not verified: at similarity 0.8 that has a chance of about 3e-5.
 LEAST_AGREEMENT = 26
-#: Bits of the table of hashed document frequencies, and of the table of random variates.
+#: Bits of each row of the sketch of document frequencies, and of the table of random variates.
 FREQ_BITS, VARIATE_BITS = 16, 16
 SMALL = 32
 #: Nodes and characters of a block of a large bucket, on average.
 BLOCK_NODES, BLOCK_CHARS = 256, 2_000_000
 
 
-def weighted_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weighted_sets(texts: list[str], size: int = WORDS, words: vec.Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, 52-bit shingle hash, tf) of every distinct shingle, by text, then hash."""
-    h, doc = vec.grams(vec.Words(texts), words)
+    h, doc = vec.grams(words or vec.Words(texts), size)
     if len(texts) > 4096:
         raise ValueError("too many texts in one step")
     key = np.sort((doc.astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(12)))
@@ -53,8 +56,15 @@ def weighted_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.
     return (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1), tf
 
 
-def slot(shingle: np.ndarray) -> np.ndarray:
-    return (shingle >> np.uint64(52 - FREQ_BITS)).astype(np.int64)
+def slots(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's slot in each of the sketch's two rows."""
+    return (shingle >> np.uint64(52 - FREQ_BITS)).astype(np.int64), (vec.mix(shingle) >> np.uint64(64 - FREQ_BITS)).astype(np.int64)
+
+
+def weight_of(shingle: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Idf by the row of the sketch that counts less."""
+    a, b = slots(shingle)
+    return np.maximum(idf[0][a], idf[1][b])
 
 
 @lru_cache(1)
@@ -100,35 +110,41 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """Hashed document frequencies of shingles over all texts, and the number of texts."""
+    """The sketch (two rows) of document frequencies of shingles over all texts, and the number of texts."""
+    size = 1 << FREQ_BITS
 
     def make():
-        freq = np.zeros((1 << FREQ_BITS) + 1, np.int64)
+        freq = np.zeros(2 * size + 1, np.int64)
 
         def kernel(texts, kept):
             _, shingle, _ = weighted_sets(texts)
-            freq[:-1] += np.bincount(slot(shingle), minlength=1 << FREQ_BITS)
+            for k, s in enumerate(slots(shingle)):
+                freq[k * size : (k + 1) * size] += np.bincount(s, minlength=size)
             freq[-1] += len(texts)
 
         def finish():
-            slots = np.flatnonzero(freq)
-            return {"slot": slots, "n": freq[slots]}
+            at = np.flatnonzero(freq)
+            return {"slot": at, "n": freq[at]}
 
         kernel.finish = finish
         return kernel
 
-    freq = np.zeros((1 << FREQ_BITS) + 1, np.int64)
+    freq = np.zeros(2 * size + 1, np.int64)
     for r in text_map(df, "slot int, n bigint", make, text, ()).groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a table of fixed size
         freq[r["slot"]] = r["n"]
-    return freq[:-1], int(freq[-1])
+    return freq[:-1].reshape(2, size), int(freq[-1])
 
 
 def inverse_frequencies(freq: np.ndarray, n: int) -> np.ndarray:
-    return (np.log((n + 1) / (np.minimum(freq, n) + 1)) + 0.2).astype(np.float32)
+    """Idf by slot: a slot's count less what the other shingles of the table put there on average, and, so that chance
+    alone makes no shingle rare, plus two of its standard deviations from one count up."""
+    noise = (freq.sum(axis=1, keepdims=True) - freq) / (freq.shape[1] - 1)
+    own = np.clip(freq - noise, 0, n) + np.maximum(2 * np.sqrt(noise) - 1, 0)
+    return (np.maximum(np.log((n + 1) / (own + 1)), 0) + 0.2).astype(np.float32)
 
 
-def signatures(df: DataFrame, idf: np.ndarray, text: str, doc_id: str) -> DataFrame:
-    """doc_id, c1, c2 (content of the word sequence), bands and samples; no bands for a text without a word."""
+def signatures(df: DataFrame, idf: np.ndarray, text: str, doc_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept columns, node (digest of the word sequence), bands and samples; no bands for a text without a word."""
     shared = df.sparkSession.sparkContext.broadcast(idf)
 
     def make():
@@ -136,37 +152,44 @@ def signatures(df: DataFrame, idf: np.ndarray, text: str, doc_id: str) -> DataFr
 
         def kernel(texts, kept):
             w = vec.Words(texts)
-            n = len(w.h)
-            up, down = vec.powers(n + 1)
-            pre = np.zeros((2, n + 1), np.uint64)
-            np.cumsum(w.h * up[:n], out=pre[0, 1:])
-            np.cumsum(vec.mix(w.h + np.uint64(5)) * up[:n], out=pre[1, 1:])
-            a, b = w.first[:-1], w.first[1:]
-            c1, c2 = (vec.mix((p[b] - p[a]) * down[a] + w.counts.astype(np.uint64)) for p in pre)
-            bare = np.flatnonzero(w.counts == 0)
-            if len(bare):
-                cp, starts = vec.codes([texts[i] for i in bare])
-                whole = vec.spans_hash(cp, starts[:-1], starts[1:])
-                c1[bare], c2[bare] = whole, 0
-            doc, shingle, tf = weighted_sets(texts)
+            first = w.first.tolist()
+            node = [vec.digest(w.h[a:b]) if a < b else vec.digest(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint8), person=b"no words") for a, b, t in zip(first[:-1], first[1:], texts, strict=True)]
+            doc, shingle, tf = weighted_sets(texts, words=w)
             bands: list = [None] * len(texts)
             sketch: list = [None] * len(texts)
             if len(doc):
                 head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                s = samples(shingle, tf * weights[slot(shingle)], head)
+                s = samples(shingle, tf * weight_of(shingle, weights), head)
                 for i, k, row in zip(doc[head].tolist(), band_keys(s), s, strict=True):
                     bands[i], sketch[i] = k, row.tobytes()
-            return {"doc_id": kept[doc_id], "c1": c1.view(np.int64), "c2": c2.view(np.int64), "bands": bands, "sketch": sketch}
+            return {**kept, "__node": node, "__bands": bands, "__sketch": sketch}
 
         return kernel
 
-    return text_map(df, f"doc_id {dict(df.dtypes)[doc_id]}, c1 bigint, c2 bigint, bands array<bigint>, sketch binary", make, text, (doc_id,))
+    rows = keyed(df, text, doc_id, keep)
+    names = tuple(c for c in rows.columns if c != "__t")
+    schema = ", ".join([*(f"{quoted(c)} {k}" for c, k in rows.drop("__t").dtypes), "__node binary, __bands array<bigint>, __sketch binary"])
+    found = text_map(rows, schema, make, "__t", names)
+    return found.select(F.col("__id").alias("doc_id"), "__ra", "__rb", *[F.col(quoted(c)) for c in keep], F.col("__node").alias("node"), F.col("__bands").alias("bands"), F.col("__sketch").alias("sketch"))
+
+
+def keyed(df: DataFrame, text: str, doc_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Id, text, kept columns and two hashes of id and text, by which rows are found again. All under reserved names."""
+    own = F.col(quoted(doc_id)), F.col(quoted(text))
+    return df.select(own[0].alias("__id"), own[1].alias("__t"), *[F.xxhash64(F.lit(k), *own).alias(n) for k, n in ((1, "__ra"), (2, "__rb"))], *[F.col(quoted(c)) for c in keep])
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame, least: int = LEAST_AGREEMENT) -> DataFrame:
-    """Pairs (a, b) whose samples agree often enough."""
+def candidate_texts(df: DataFrame, nodes: DataFrame, needed: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(node, text) of the needed nodes: the one shuffle of texts, at every size. One row of equal ones stays."""
+    keys = needed.join(nodes.select("node", "__ra", "__rb"), "node")
+    own = keyed(df, text, doc_id).drop("__id").join(keys.hint("merge"), ["__ra", "__rb"])
+    return own.dropDuplicates(["__ra", "__rb"]).select("node", F.col("__t").alias("text"))
+
+
+def agreeing(pairs: DataFrame, nodes: DataFrame, counts: DataFrame, least: int = LEAST_AGREEMENT) -> DataFrame:
+    """Pairs (a, b) whose samples agree often enough. ``counts``: (a, n) of nodes that lead many pairs."""
     left, right = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    both = spread_join(pairs, left, "a", "b", counts).join(right, "b").select("a", "b", "sa", "sb")
     schema = both.select("a", "b").schema
 
     def run(batches):
@@ -193,7 +216,7 @@ def jaccards(first: list[str], second: list[str], idf: np.ndarray) -> np.ndarray
     for lo in range(0, n, step):
         a, b = first[lo : lo + step], second[lo : lo + step]
         doc, shingle, tf = weighted_sets([*a, *b])
-        w = tf * idf[slot(shingle)].astype(float)
+        w = tf * weight_of(shingle, idf).astype(float)
         pair, m = doc % len(a), len(a)
         total = np.bincount(pair, w, m)
         order = np.lexsort((shingle, pair))
@@ -207,7 +230,7 @@ def jaccards(first: list[str], second: list[str], idf: np.ndarray) -> np.ndarray
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Pairs (a, b) with an exact weighted Jaccard similarity of ``threshold`` or more."""
     left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    both = pairs.join(right, "b").join(left, "a")
+    both = spread_join(pairs, left, "a", "b", pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))).join(right, "b")
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def make():
@@ -221,7 +244,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return text_map(both, f"a {kind}, b {kind}", make, "tb", ("a", "b", "ta"))
 
 
-def block_links(texts: list[str], label: list[int], asks: np.ndarray, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def block_links(texts: list[str], label: list, asks: np.ndarray, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links (i, j) from texts i that ask to texts j of other labels: one for each i and label that has any.
 
     Similarities are exact: a shingle that occurs tf times is tf features of its idf, so the common weight of two
@@ -234,7 +257,7 @@ def block_links(texts: list[str], label: list[int], asks: np.ndarray, idf: np.nd
         level = np.arange(len(rep)) - np.repeat(np.cumsum(tf) - tf, tf)
         parts.append((doc[rep] + lo, shingle[rep], vec.mix(shingle[rep] + vec.mix(level.astype(np.uint64) + np.uint64(1)))))
     doc, shingle, feature = (np.concatenate(x) for x in zip(*parts, strict=True))
-    weight = idf[slot(shingle)].astype(float)
+    weight = weight_of(shingle, idf).astype(float)
     total = np.bincount(doc, weight, n)
     _, first, inverse, held = np.unique(feature, return_index=True, return_inverse=True, return_counts=True)
     rank = np.cumsum(held > 1) - 1
@@ -251,11 +274,12 @@ def block_links(texts: list[str], label: list[int], asks: np.ndarray, idf: np.nd
         common += x[asks] @ x.T
     rows = np.flatnonzero(asks)
     union = total[rows][:, None] + total[None, :] - common
-    label = np.array(label)
+    numbers = {x: k for k, x in enumerate(dict.fromkeys(label))}
+    label = np.array([numbers[x] for x in label])
     hit = (common >= (threshold - 1e-7) * union) & (union > 0) & (label[rows][:, None] != label[None, :])
     out = {}
     for i, j in zip(*np.nonzero(hit), strict=True):
-        out.setdefault((int(rows[i]), label[j]), int(j))
+        out.setdefault((int(rows[i]), int(label[j])), int(j))
     return [(i, j) for (i, _), j in out.items()]
 
 
@@ -267,8 +291,9 @@ def outside_links(large: DataFrame, labels: DataFrame, texts: DataFrame, idf: np
     shape = tally.groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("top"), F.sum("m").alias("n"), F.sum("chars").alias("chars")).where("top < n")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.col("chars") / BLOCK_CHARS)).cast("int")
     ask_blocks = F.ceil(F.greatest((F.col("n") - F.col("top")) / BLOCK_NODES, F.col("chars") * (1 - F.col("top") / F.col("n")) / BLOCK_CHARS)).cast("int")
-    shape = shape.select("band", "main", blocks.alias("nb"), ask_blocks.alias("na"))
-    dealt = stored(placed.join(shape, "band"), "outside")
+    shape = shape.select("band", "main", "n", blocks.alias("nb"), ask_blocks.alias("na"))
+    shape = stored(shape, "bucket-shapes")
+    dealt = stored(spread_join(placed, shape, "band", "node", shape.select("band", "n")), "outside")
     place = lambda of, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(of)).cast("int")
     every = F.sequence(F.lit(0), F.col("na") - 1)
     held = dealt.select("band", "node", "label", F.lit(False).alias("asks"), F.explode(every).alias("qa"), place("nb", 1).alias("mb"))
@@ -298,41 +323,55 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    last = labels
     while True:
         near = ends.join(labels.select(F.col("node").alias("b"), F.col("label").alias("via")), "b").groupBy(F.col("a").alias("node")).agg(F.min("via").alias("m"))
         low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
         step = stored(low.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("to", "label")).alias("label")), "labels")
-        labels = step.select("node", "label")
-        if step.where(F.col("label") != F.col("old")).isEmpty():
+        done = step.where(F.col("label") != F.col("old")).isEmpty()
+        forget(last)
+        labels, last = step.select("node", "label"), step
+        if done:
+            forget(ends)
             return labels
 
 
-def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id and copy_of (the least id with the same words) for every row."""
+def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, class_id and copy_of (the least id with the same words) for every row.
+
+    With ``keep``, those columns of ``df`` and ``class_key``, which names a class whether its rows have ids or not.
+    """
     freq, n = document_frequencies(df, text)
     idf = inverse_frequencies(freq, n)
-    sig = stored(signatures(df, idf, text, doc_id), "signatures")
-    alike = sig.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s"))
-    nodes = stored(alike.where(F.col("node").isNotNull()).select("c1", "c2", "node", "s.bands", "s.sketch"), "nodes")
+    sig = stored(signatures(df, idf, text, doc_id, keep), "signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__ra", "__rb"))
+    alike = sig.groupBy("node").agg(least.alias("l"), F.count(F.lit(1)).alias("n"), F.any_value(F.struct("bands", "sketch")).alias("s"))  # equal words, equal samples
+    nodes = stored(alike.select("node", F.col("l.doc_id").alias("least"), "l.__ra", "l.__rb", "n", "s.bands", "s.sketch"), "nodes")
     member = nodes.where("bands is not null").select("node", F.explode("bands").alias("band"))
-    sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
-    member = stored(member.join(sizes, "band"), "buckets")
+    sizes = stored(member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "bucket-sizes")
+    member = stored(spread_join(member, sizes, "band", "node", sizes.select("band", "n")), "buckets")
     small = member.where(F.col("n") <= SMALL)
     pairs = small.select("band", F.col("node").alias("a")).join(small.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
     star = member.where((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    pairs = stored(agreeing(pairs.union(star).distinct(), nodes), "pairs")
+    leads = sizes.where(F.col("n") > SMALL).groupBy(F.col("lead").alias("a")).agg(F.sum("n").alias("n"))
+    pairs = stored(agreeing(pairs.union(star).distinct(), nodes, leads), "pairs")
     large = member.where(F.col("n") > SMALL).select("band", "node")
     has_large = not large.isEmpty()
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     needed = needed.union(large.select("node")).distinct() if has_large else needed.distinct()
-    own = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
-    texts = stored(own.join(needed.hint("merge"), "node"), "candidates")  # the one shuffle of texts, at every size; candidates only from here on
+    texts = stored(candidate_texts(df, nodes, needed, text, doc_id), "candidates")
     links = stored(verified(pairs, texts, idf, threshold), "links")
     labels = components(links)
     if has_large:
         more = stored(outside_links(large, labels, texts, idf, threshold), "links")
         if not more.isEmpty():
             labels = components(links.union(more))
-    named = nodes.join(labels, "node", "left").select("c1", "c2", "node", F.coalesce("label", "node").alias("class_id"))
-    return sig.select("doc_id", "c1", "c2").join(named, ["c1", "c2"], "left").select("doc_id", "class_id", F.col("node").alias("copy_of"))
+    forget(member, sizes, pairs, texts)
+    ids = labels.join(nodes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    ids = stored(ids, "class-ids")
+    linked = spread_join(labels, ids.select("label", "class_id"), "label", "node", ids.select("label", "n"))
+    full = nodes.join(linked, "node", "left").select("node", F.col("least").alias("copy_of"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("label", "node").alias("class_key"))
+    own = sig.select("doc_id", "node", *[F.col(quoted(c)) for c in keep])
+    out = spread_join(own, full, "node", "doc_id", nodes.select("node", "n"))
+    return out.select("doc_id", "class_id", "copy_of", *[F.col(quoted(c)) for c in keep], *(["class_key"] if keep else []))

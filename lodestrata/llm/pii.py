@@ -4,7 +4,8 @@ Base kinds (email, ip, card, phone) follow fixed patterns and never depend on co
 account numbers (mod-97) and social security numbers, the latter only with a word of their kind nearby.
 
 Defined results: a null text has no spans; repeated rows give repeated results; an empty table gives an empty
-table; texts are searched whole and every pattern takes time in proportion to the text.
+table; texts are searched whole and every pattern takes time in proportion to the text; spans of one start go by kind as
+listed; columns that are kept may have any name.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestrata.llm.common import text_map
+from lodestrata.llm.common import quoted, text_map
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -127,18 +128,19 @@ def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:
 SPANS = "array<struct<start:int,end:int,kind:string,score:double>>"
 
 
-def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", redacted: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, pii (spans with kind and score) and, if asked, the redacted text; columns in ``keep`` come along."""
+def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", redacted: bool = False, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """doc_id, pii (spans with kind and score) and, if asked, the redacted text; columns in ``keep`` come along, and
+    ``prefix`` goes before the names of the new ones, so that kept columns may have them."""
     types = dict(df.dtypes)
     names = tuple(dict.fromkeys((doc_id, *keep)))
-    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + [f"pii {SPANS}"] + ["redacted string"] * redacted)
+    schema = ", ".join([f"{quoted(c)} {types[c]}" for c in names] + [f"{quoted(prefix + 'pii')} {SPANS}"] + [f"{quoted(prefix + 'redacted')} string"] * redacted)
 
     def make():
         def kernel(texts, kept):
             found = [find(t) for t in texts]
-            out = {**kept, "pii": [[dict(zip(("start", "end", "kind", "score"), x, strict=True)) for x in f] for f in found]}
+            out = {**kept, prefix + "pii": [[dict(zip(("start", "end", "kind", "score"), x, strict=True)) for x in f] for f in found]}
             if redacted:
-                out["redacted"] = [redact(t, f) for t, f in zip(texts, found, strict=True)]
+                out[prefix + "redacted"] = [redact(t, f) for t, f in zip(texts, found, strict=True)]
             return out
 
         return kernel

@@ -9,8 +9,9 @@ The score of the restored text is a logistic function of the log-odds of its wor
 the label is significant. Labels come from training rows only, at most ``LABELLED`` of them (a documented bound).
 
 Defined results: null and empty texts score as texts with no significant word; with no labelled rows every score is
-the prior (0 with none of label 1); repeated rows give repeated results; an empty table gives an empty table; null
-labels are not learned.
+the prior (0 with none of label 1); repeated rows give repeated results, and of rows that share an id the least text is
+learned; texts and places of any length are restored whole; other columns are not read, whatever their names; an empty
+table gives an empty table; null labels are not learned.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestrata.llm import vec
 from lodestrata.llm.common import text_map
 
-#: Labelled rows learned from at most, words of the lexicon at most, and the G-squared from which a word counts.
-LABELLED, LEXICON, SIGNIFICANT = 12_000, 20_000, 30.0
+#: Labelled rows learned from at most, and the G-squared from which a word counts. Each word that reaches it is in several
+#: of these rows, so they bound the lexicon.
+LABELLED, SIGNIFICANT = 12_000, 30.0
 #: Symbols of the character model: 0 boundary, a-z, the letters U+00DF..U+00FF, 60 any other letter.
 SYMBOLS = 64
 
@@ -145,23 +147,23 @@ class Restorer:
         return place if found == place.lower() else found
 
     def restore_all(self, texts: list[str]) -> list[str]:
-        """Only texts in which some place can look obfuscated are searched."""
-        kind, lower, _, _ = vec.tables()
+        """``restore`` of each text. Texts that cannot hold a place are passed by: none of the patterns matches without
+        a sign next to a letter, one letter three times, or two single characters at most three places apart."""
+        kind = vec.tables()[0]
         cp, starts = vec.codes(texts)
-        k = kind[np.minimum(cp, vec._TOP - 1)]
-        letter = k == vec.LETTER
+        at = np.minimum(cp, vec._TOP - 1)
+        letter = (kind[at] == vec.LETTER) | (kind[at] == vec.NUMBER) | (cp >= vec._TOP)  # at least what the patterns call letters
         sign = np.isin(cp, [ord(c) for c in LEET])
         flag = np.zeros(len(cp) + 1, bool)
-        flag[:-2] |= sign[:-1] & letter[1:] | letter[:-1] & sign[1:]
-        low = lower[np.minimum(cp, vec._TOP - 1)]
-        flag[:-3] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
+        flag[:-2] |= sign[:-1] & letter[1:] & ~sign[1:] | letter[:-1] & ~sign[:-1] & sign[1:]
+        flag[:-3] |= letter[:-2] & (cp[:-2] == cp[1:-1]) & (cp[1:-1] == cp[2:]) & ~sign[:-2]
         one = letter | sign
-        alone = one.copy()
+        alone = one.copy()  # a spaced run has four characters at least, and its inner ones stand alone
         alone[1:] &= ~one[:-1]
         alone[:-1] &= ~one[1:]
-        for step in (2, 3):
-            if len(cp) > 3 * step:
-                flag[: len(cp) - 2 * step] |= alone[: -2 * step] & alone[step:-step] & alone[2 * step :]
+        where = np.flatnonzero(alone)
+        near = where[:-1][np.diff(where) <= 3]
+        flag[near] = True
         total = np.concatenate([[0], np.cumsum(flag[:-1])])
         hit = total[starts[1:]] > total[starts[:-1]]
         return [self.restore(t) if h else t for t, h in zip(texts, hit.tolist(), strict=True)]
@@ -252,7 +254,8 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, text: str = "text", doc
     spark = df.sparkSession
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     marks = marks.where(train).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    own = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marks), "doc_id")  # at most `limit` rows
+    own = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marks), "doc_id")  # at most `limit` ids
+    own = own.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of texts that share an id the least is learned
 
     def make():
         restorer = Restorer(cost_shared.value)
@@ -279,7 +282,7 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, text: str = "text", doc
     absent = F.lit(float(n)) - a - b
     g2 = 2 * (cell(a, a + b, n1) + cell(b, a + b, n0) + cell(float(n1) - a, absent, n1) + cell(float(n0) - b, absent, n0))
     tally = seen.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    chosen = tally.withColumn("g2", F.when(a + b < n, g2).otherwise(0.0)).where(F.col("g2") >= SIGNIFICANT).orderBy(F.desc("g2"), "w").limit(LEXICON).collect()
+    chosen = tally.withColumn("g2", F.when(a + b < n, g2).otherwise(0.0)).where(F.col("g2") >= SIGNIFICANT).collect()
     words = np.array([r["w"] for r in chosen], np.int64).astype(np.uint64)
     odds = np.array([math.log((r["a"] + 0.5) / (n1 + 1)) - math.log((r["b"] + 0.5) / (n0 + 1)) for r in chosen])
     order = np.argsort(words)

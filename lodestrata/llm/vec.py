@@ -1,11 +1,14 @@
 """Vectorised text primitives: code points, character classes, word spans and 64-bit span hashes with numpy.
 
-A step works on the concatenation of many texts, so cost per text is small. Hashes of spans come from one prefix
-sum of a polynomial in an odd base modulo 2**64 (an odd base has an inverse), then a finaliser.
+A step works on the concatenation of many texts, so cost per text is small. Hashes of spans of up to SHORT characters
+come from one prefix sum of a polynomial in an odd base modulo 2**64 (an odd base has an inverse), then a finaliser.
+Over long spans such a polynomial has collisions that anyone can build (Thue-Morse words of two letters), so longer
+spans are hashed by BLAKE2b, as are whole texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from functools import lru_cache
 
@@ -14,7 +17,8 @@ import numpy as np
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 _TOP = 0x30000
 _BASE = 0x9E3779B97F4A7C15
-_M64 = (1 << 64) - 1
+#: Characters of a span up to which its hash is the polynomial.
+SHORT = 32
 # Code points with the Unicode property White_Space.
 _SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -93,7 +97,15 @@ def spans_hash(cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         term = term ^ np.where(cp >= _TOP, mix(cp.astype(np.uint64)), np.uint64(0))
     pre = np.zeros(n + 1, np.uint64)
     np.cumsum(term * up[:n], out=pre[1:])
-    return mix((pre[e] - pre[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    out = mix((pre[e] - pre[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    for i in np.flatnonzero(e - s > SHORT).tolist():
+        out[i] = int.from_bytes(digest(cp[s[i] : e[i]], 8), "little")
+    return out
+
+
+def digest(part: np.ndarray, size: int = 16, person: bytes = b"") -> bytes:
+    """BLAKE2b of an array's bytes."""
+    return hashlib.blake2b(np.ascontiguousarray(part).data, digest_size=size, person=person).digest()
 
 
 class Words:
@@ -127,7 +139,9 @@ class Words:
 
 
 def grams(w: Words, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of every run of ``size`` words of a text; with ``short``, a text of fewer words gives one."""
+    """(hash, text number) of every run of ``size`` words of a text; with ``short``, a text of fewer words gives one.
+
+    Runs are a few words long, so the polynomial over their hashes is safe (see SHORT)."""
     n = len(w.h)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)

@@ -142,14 +142,39 @@ def test_licenses():
     assert licenses.matches(index, ["nothing to see here", ""]) == []
 
 
-def brute_weighted(a, b, idf):
-    def bag(t):
-        d, s, tf = neardup.weighted_sets([t])
-        return {int(x): int(n) * float(idf[neardup.slot(np.array([x], np.uint64))[0]]) for x, n in zip(s, tf, strict=True)}
-
-    x, y = bag(a), bag(b)
-    keys = x.keys() | y.keys()
-    return sum(min(x.get(k, 0), y.get(k, 0)) for k in keys) / sum(max(x.get(k, 0), y.get(k, 0)) for k in keys)
+def similar_pairs(texts, idf):
+    """(i, j) -> weighted Jaccard similarity of every pair of texts that share a run of words, by brute force."""
+    bags = []
+    for t in texts:
+        _, s, tf = neardup.weighted_sets([t])
+        bags.append(dict(zip(s.tolist(), (tf * neardup.weight_of(s, idf).astype(float)).tolist(), strict=True)))
+    holders = {}
+    for i, bag in enumerate(bags):
+        for s in bag:
+            holders.setdefault(s, []).append(i)
+    pairs = {(i, j) for own in holders.values() for n, i in enumerate(own) for j in own[n + 1 :]}
+    total = [sum(b.values()) for b in bags]
+    out = {}
+    for i, j in pairs:
+        common = sum(min(v, bags[j][s]) for s, v in bags[i].items() if s in bags[j])
+        out[i, j] = common / (total[i] + total[j] - common)
+    return out
+
+
+def brute_classes(n, pairs, threshold):
+    """Least member of each text's component."""
+    label = list(range(n))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for (i, j), s in pairs.items():
+        if s >= threshold:
+            a, b = root(i), root(j)
+            label[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
 
 
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
@@ -163,17 +188,24 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
                 own[int(rng.integers(0, 120))] = "edit"
             rows.append(" ".join(own))
     d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    freq, n = neardup.document_frequencies(d, "text")
-    idf = neardup.inverse_frequencies(freq, n)
+    idf = neardup.inverse_frequencies(*neardup.document_frequencies(d, "text"))
+    want = brute_classes(len(rows), similar_pairs(rows, idf), neardup.THRESHOLD)
+    assert len(set(want)) < len(rows)
     for small in (32, 2):  # the second goes by leaders and blocks
         monkeypatch.setattr(neardup, "SMALL", small)
         cls = {r["doc_id"]: r["class_id"] for r in neardup.classes(d).collect()}
-        for i in range(len(rows)):
-            for j in range(i):
-                if brute_weighted(rows[i], rows[j], idf) >= 0.82:
-                    assert cls[i] == cls[j]
-                elif i // 4 != j // 4:
-                    assert cls[i] != cls[j]
+        assert [cls[i] for i in range(len(rows))] == want
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in d.select("doc_id", "text").collect())
+    idf = neardup.inverse_frequencies(*neardup.document_frequencies(d, "text"))
+    pairs = similar_pairs([t for _, t in rows], idf)
+    want = brute_classes(len(rows), pairs, neardup.THRESHOLD)
+    cls = {r["doc_id"]: r["class_id"] for r in queries.op10_neardup(spark, "/root/testdata/sf0.01").collect()}
+    assert sum(s >= 0.8 for s in pairs.values()) > 50
+    assert [cls[i] for i, _ in rows] == [rows[k][0] for k in want]
 
 
 def test_decontamination(spark):
