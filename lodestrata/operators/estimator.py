@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.ml.param import Param, Params, TypeConverters as T
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestrata.functions import metrics
-from lodestrata.operators import fuzzy, hierarchy, knn, labelprop, layout, mst, quality
+from lodestrata.operators import descent, fuzzy, hierarchy, initial, knn, layout, mst, quality
+from lodestrata.operators.store import stored
 
 #: Rows of a spanning tree that one task turns into a hierarchy (24 bytes an edge).
 HIERARCHY_ROWS = 20_000_000
-#: Epochs of the layout of parts from which the layout of rows starts.
-COARSE_EPOCHS = 50
+#: Rows up to which a fit takes exact neighbours where it is not told which; approximate ones beyond.
+EXACT_ROWS = 20_000
 
 
 @dataclass
@@ -33,10 +36,12 @@ class Result:
     tree: DataFrame
 
 
-def hierarchy_layers(tree: DataFrame, nodes: DataFrame, min_size: int, n_clusters: int | None, single: bool, similar: float, most: int) -> DataFrame:
-    """(layer, id, label, strength, persistence) in one task over the tree's edges."""
-    edges = tree.select("src", "dst", "weight")
+def in_one_task(tree: DataFrame, nodes: DataFrame, make, schema: str) -> DataFrame:
+    """``make(linkage, ids)`` rows, in one task over the stored edges of a tree over ``nodes``. Merging edges in order is
+    sequential; the table is written before, so that only reading it is one task's work."""
     alone = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(-1.0).alias("weight"))
+    edges = stored(tree.select("src", "dst", "weight").union(alone))
+    names = [f.name for f in edges.sparkSession.createDataFrame([], schema).schema]
 
     def run(batches):
         parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
@@ -44,72 +49,69 @@ def hierarchy_layers(tree: DataFrame, nodes: DataFrame, min_size: int, n_cluster
             return
         t = pa.concat_tables(parts)
         src, dst, w = (t.column(c).to_numpy() for c in ("src", "dst", "weight"))
-        ids = np.unique(src[w < 0])
-        real = w >= 0
+        ids, real = np.unique(src[w < 0]), w >= 0
+        link = hierarchy.linkage(np.searchsorted(ids, src[real]), np.searchsorted(ids, dst[real]), w[real])
+        got = make(link, ids)
+        for columns in got if isinstance(got, Iterator) else [list(zip(*got, strict=True))]:
+            if columns:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
+
+    kinds = [f.type for f in to_arrow_schema(edges.sparkSession.createDataFrame([], schema).schema)]
+    return edges.coalesce(1).mapInArrow(run, schema)
+
+
+def hierarchy_layers(tree: DataFrame, nodes: DataFrame, min_size: int, n_clusters: int | None, single: bool, similar: float, most: int) -> DataFrame:
+    """(layer, id, label, strength, persistence) in one task over the tree's edges."""
+
+    def make(link, ids):
         if len(ids) == 1:
             got = [(np.array([-1]), np.zeros(1), 0.0)]
         else:
-            link = hierarchy.linkage(np.searchsorted(ids, src[real]), np.searchsorted(ids, dst[real]), w[real])
             got = hierarchy.layers(link, min_size, n_clusters, single, similar, most)
         for k, (label, strength, score) in enumerate(got):
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(ids), pa.array(label.astype(np.int32)), pa.array(strength.astype(np.float64)), pa.array(np.full(n, score, np.float64))], names=["layer", "id", "label", "strength", "persistence"])
+            yield np.full(len(ids), k, np.int32), ids, label.astype(np.int32), strength.astype(float), np.full(len(ids), score, float)
 
-    return edges.union(alone).coalesce(1).mapInArrow(run, "layer int, id long, label int, strength double, persistence double")
+    return in_one_task(tree, nodes, make, "layer int, id long, label int, strength double, persistence double")
 
 
-def cluster(df: DataFrame, metric: str = "cosine", noise_level: float = 0.5, base_min_cluster_size: int = 5, base_n_clusters: int | None = None, approx_n_clusters: int | None = None, n_neighbors: int = 15, min_samples: int = 5, n_epochs: int = 50, node_embedding_init: str | None = "label_prop", symmetrize_graph: bool = True, node_embedding_dim: int | None = None, neighbor_scale: float = 1.0, random_state: int = 42, min_similarity_threshold: float = 0.2, max_layers: int = 10, n_label_prop_iter: int = 20, approximate: bool = False) -> Result:
+def cluster(df: DataFrame, metric: str = "cosine", noise_level: float = 0.5, base_min_cluster_size: int = 5, base_n_clusters: int | None = None, approx_n_clusters: int | None = None, n_neighbors: int = 15, min_samples: int = 5, n_epochs: int = 50, node_embedding_init: str | None = "label_prop", symmetrize_graph: bool = True, node_embedding_dim: int | None = None, neighbor_scale: float = 1.0, random_state: int = 42, min_similarity_threshold: float = 0.2, max_layers: int = 10, n_label_prop_iter: int = 20, approximate: bool | None = None, base_init: str = "pca", upscaling: str = "partition_expander") -> Result:
     """Cluster (id, vec) at several granularities."""
-    df = mst.stored(df.select("id", "vec"))
+    df = stored(df.select("id", "vec"))
     nodes = df.select("id")
-    found = knn.approximate(df, n_neighbors, seed=random_state) if approximate and metric == "cosine" else knn.exact(df, n_neighbors, metric)
-    raw = mst.stored(found)
+    n = nodes.count()
+    if approximate is None:
+        approximate = n > EXACT_ROWS
+    raw = stored(descent.search(df, n_neighbors, metric, seed=random_state) if approximate else knn.exact(df, n_neighbors, metric, n))
     graph = knn.published(raw, metric)
     finite = graph.where(~F.isnan("dist") & (F.abs(F.col("dist")) < float("inf")))
     directed = fuzzy.memberships(finite, fuzzy.bandwidths(finite, n_neighbors, neighbor_scale))
-    edges = mst.stored(fuzzy.symmetrised(directed) if symmetrize_graph else directed)
+    edges = stored(fuzzy.symmetrised(directed) if symmetrize_graph else directed)
     dims = node_embedding_dim or min(max(n_neighbors // 4, 4), 15)
     start = None
-    n = nodes.count()
-    if node_embedding_init == "label_prop" and n > 64:
-        parts = mst.stored(labelprop.partitions(edges, nodes, min(max(int(8 * n**0.5), 256), 16384) if n > 1024 else max(8, n // 8), n_label_prop_iter, random_state))
-        centre = labelprop.centroids(df.select("id", metrics.normalise(F.col("vec")).alias("vec")), parts)
-        first = principal(centre.collect(), dims)  # at most 16384 parts
-        places = df.sparkSession.createDataFrame(first, "part long, pos array<double>")
-        small = labelprop.coarse(edges, parts)
-        placed = layout.embed(small.where("src <> dst"), parts.select(F.col("part").alias("id")).distinct(), dims, COARSE_EPOCHS, places.select(F.col("part").alias("id"), "pos"), 0.001 * COARSE_EPOCHS, noise_level, random_state)
-        start = halved(labelprop.expanded(edges, parts, placed.select(F.col("id").alias("part"), "pos")), dims)
-    elif node_embedding_init not in (None, "label_prop"):
+    if node_embedding_init == "label_prop":
+        parts = min(max(int(8 * n**0.5), 256), 16384)
+        start = stored(initial.places(edges, df if metric != "bits" else unpacked(df), dims, parts, n_label_prop_iter, noise_level, base_init, upscaling, random_state))
+    elif node_embedding_init is not None:
         raise ValueError(f"unknown initialisation {node_embedding_init!r}")
-    placed = mst.stored(layout.embed(edges, nodes, dims, n_epochs, start, 0.1, noise_level, random_state))
-    tree = mst.stored(mst.spanning_tree(placed.select("id", F.col("pos").alias("vec")), min_samples))
+    placed = stored(layout.embed(edges, nodes, dims, n_epochs, start, 0.1, noise_level, random_state))
+    tree = stored(mst.spanning_tree(placed.select("id", F.col("pos").alias("vec")), min_samples))
     if n > HIERARCHY_ROWS:
         raise ValueError(f"{n} rows; the hierarchy takes at most {HIERARCHY_ROWS}")
-    whole = mst.stored(hierarchy_layers(tree, nodes, base_min_cluster_size, approx_n_clusters or base_n_clusters, bool(approx_n_clusters), min_similarity_threshold, max_layers))
+    whole = stored(hierarchy_layers(tree, nodes, base_min_cluster_size, approx_n_clusters or base_n_clusters, bool(approx_n_clusters), min_similarity_threshold, max_layers))
     scores = whole.groupBy("layer").agg((F.max("label") + 1).alias("n_clusters"), F.max("persistence").alias("persistence"))
     return Result(whole.drop("persistence"), scores, graph, knn.duplicates(graph), placed, tree)
 
 
-def halved(places: DataFrame, dims: int) -> DataFrame:
-    """(id, pos) moved to mean 0 and halved."""
-    centre = places.agg(F.array(*[F.avg(F.col("pos")[i]) for i in range(dims)]).alias("mean"))
-    return places.join(F.broadcast(centre)).select("id", F.transform("pos", lambda x, i: (x - F.col("mean")[i]) / 2).alias("pos"))  # one row
+def unpacked(df: DataFrame) -> DataFrame:
+    """Words of bits as vectors of 0 and 1."""
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = knn.prepared(knn.matrix(pa.Table.from_batches([batch]).select(["vec"]), "bits"), "bits")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "vec"])
 
-def principal(rows: list, dims: int) -> list[tuple[int, list[float]]]:
-    """Principal components of part centroids, centred and scaled to half-range 1 (missing components are 0)."""
-    rows = sorted(rows, key=lambda r: r["part"])
-    if not rows:
-        return []
-    x = np.array([r["vec"] for r in rows], float)
-    x = x - x.mean(axis=0)
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
-    u = u * np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
-    p = np.zeros((len(rows), dims))
-    k = min(dims, u.shape[1])
-    p[:, :k] = (u * s)[:, :k]
-    p /= max(np.abs(p).max(), 1e-12)
-    return [(int(r["part"]), [float(v) for v in q]) for r, q in zip(rows, p, strict=True)]
+    return df.select("id", "vec").mapInArrow(run, "id long, vec array<double>")
 
 
 class _Shared(Params):
@@ -131,12 +133,15 @@ class _Shared(Params):
     minSimilarityThreshold = Param(Params._dummy(), "minSimilarityThreshold", "largest overlap of kept layers", T.toFloat)
     maxLayers = Param(Params._dummy(), "maxLayers", "layers at most", T.toInt)
     nLabelPropIter = Param(Params._dummy(), "nLabelPropIter", "sweeps of label propagation", T.toInt)
+    approximate = Param(Params._dummy(), "approximate", "neighbours by descent: 1 always, 0 never, -1 beyond EXACT_ROWS rows", T.toInt)
+    baseInit = Param(Params._dummy(), "baseInit", "places of the smallest graph: pca, random, spectral or mds", T.toString)
+    upscaling = Param(Params._dummy(), "upscaling", "partition_expander, jitter_expander or jitter", T.toString)
 
 
-_DEFAULTS = {"vecCol": "embedding", "idCol": "vec_id", "metric": "cosine", "noiseLevel": 0.5, "baseMinClusterSize": 5, "baseNClusters": 0, "approxNClusters": 0, "nNeighbors": 15, "minSamples": 5, "nEpochs": 50, "nodeEmbeddingInit": "label_prop", "symmetrizeGraph": True, "nodeEmbeddingDim": 0, "neighborScale": 1.0, "seed": 42, "minSimilarityThreshold": 0.2, "maxLayers": 10, "nLabelPropIter": 20}
+_DEFAULTS = {"vecCol": "embedding", "idCol": "vec_id", "metric": "cosine", "noiseLevel": 0.5, "baseMinClusterSize": 5, "baseNClusters": 0, "approxNClusters": 0, "nNeighbors": 15, "minSamples": 5, "nEpochs": 50, "nodeEmbeddingInit": "label_prop", "symmetrizeGraph": True, "nodeEmbeddingDim": 0, "neighborScale": 1.0, "seed": 42, "minSimilarityThreshold": 0.2, "maxLayers": 10, "nLabelPropIter": 20, "approximate": -1, "baseInit": "pca", "upscaling": "partition_expander"}
 
 
-class LayeredClusters(Estimator, _Shared):
+class LayeredClusters(Estimator, _Shared, DefaultParamsReadable, DefaultParamsWritable):
     """Estimator: fit(df) gives a model with label layers of df's rows."""
 
     @keyword_only
@@ -149,15 +154,39 @@ class LayeredClusters(Estimator, _Shared):
         from lodestrata.sources.vectors import checked
 
         g = lambda p: self.getOrDefault(p)
-        df = checked(dataset.select(F.col(g("idCol")).cast("long").alias("id"), F.col(g("vecCol")).cast("array<double>").alias("vec")))
+        kind = "array<long>" if g("metric") == "bits" else "array<double>"
+        df = dataset.select(F.col(g("idCol")).cast("long").alias("id"), F.col(g("vecCol")).cast(kind).alias("vec"))
+        df = checked(df) if g("metric") != "bits" else df
         init = None if g("nodeEmbeddingInit") == "random" else g("nodeEmbeddingInit")
-        out = cluster(df, g("metric"), g("noiseLevel"), g("baseMinClusterSize"), g("baseNClusters") or None, g("approxNClusters") or None, g("nNeighbors"), g("minSamples"), g("nEpochs"), init, g("symmetrizeGraph"), g("nodeEmbeddingDim") or None, g("neighborScale"), g("seed"), g("minSimilarityThreshold"), g("maxLayers"), g("nLabelPropIter"))
+        out = cluster(df, g("metric"), g("noiseLevel"), g("baseMinClusterSize"), g("baseNClusters") or None, g("approxNClusters") or None, g("nNeighbors"), g("minSamples"), g("nEpochs"), init, g("symmetrizeGraph"), g("nodeEmbeddingDim") or None, g("neighborScale"), g("seed"), g("minSimilarityThreshold"), g("maxLayers"), g("nLabelPropIter"), None if g("approximate") < 0 else bool(g("approximate")), g("baseInit"), g("upscaling"))
         model = LayeredClustersModel(out)
         self._copyValues(model)
         return model
 
 
-class LayeredClustersModel(Model, _Shared):
+class _Writer(MLWriter):
+    """Parameters as metadata, then the tables of the fit."""
+
+    def __init__(self, model: LayeredClustersModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        for name in Result.__dataclass_fields__:
+            getattr(self.model.tables, name).write.parquet(f"{path}/{name}")
+
+
+class _Reader(MLReader):
+    def load(self, path: str) -> LayeredClustersModel:
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = LayeredClustersModel(Result(*[self.sparkSession.read.parquet(f"{path}/{name}") for name in Result.__dataclass_fields__]))
+        model._resetUid(meta["uid"])
+        DefaultParamsReader.getAndSetParams(model, meta)
+        return model
+
+
+class LayeredClustersModel(Model, _Shared, MLWritable, MLReadable):
     """Tables of a fit. Only fitted rows have labels; transform adds those of the most persistent layer."""
 
     def __init__(self, result: Result | None = None):
@@ -165,23 +194,28 @@ class LayeredClustersModel(Model, _Shared):
         self._setDefault(**_DEFAULTS)
         self.result = result
 
+    @property
+    def tables(self) -> Result:
+        if self.result is None:
+            raise RuntimeError("this model is not fitted")
+        return self.result
+
     @property
     def labels(self) -> DataFrame:
-        best = self.result.scores.orderBy(F.desc("persistence"), "layer").limit(1).select("layer")
-        return self.result.layers.join(F.broadcast(best), "layer").select("id", "label", "strength")  # one row
+        best = self.tables.scores.orderBy(F.desc("persistence"), "layer").limit(1).select("layer")
+        return self.tables.layers.join(F.broadcast(best), "layer").select("id", "label", "strength")  # one row
 
     @property
     def cluster_tree(self) -> DataFrame:
-        return quality.cluster_tree(self.result.layers)
+        return quality.cluster_tree(self.tables.layers)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         name = self.getOrDefault("idCol")
         return dataset.join(self.labels.withColumnRenamed("id", name), name, "left")
 
-    def save(self, path: str) -> None:
-        for name in Result.__dataclass_fields__:
-            getattr(self.result, name).write.parquet(f"{path}/{name}")
+    def write(self) -> MLWriter:
+        return _Writer(self)
 
     @classmethod
-    def load(cls, spark, path: str) -> LayeredClustersModel:
-        return cls(Result(*[spark.read.parquet(f"{path}/{name}") for name in Result.__dataclass_fields__]))
+    def read(cls) -> MLReader:
+        return _Reader()

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 
 def bandwidths(graph: DataFrame, k: int, scale: float = 1.0, steps: int = 64) -> DataFrame:
     """src, rho, sigma from (src, rank, dst, dist): rho is the first distance above 0, and sigma makes the memberships
-    of ranks 1 and up sum to log2(k) * scale, by bisection, with a floor of a thousandth of the mean distance."""
+    of ranks 1 and up sum to log2(scale * k), by bisection, with a floor of a thousandth of the mean distance."""
     rows = graph.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dist"))), lambda x: x["dist"]).alias("d"))
     mean = F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")
     rows = rows.select("src", "d", mean.alias("mean"), F.coalesce(F.try_element_at(F.filter("d", lambda x: x > 0), F.lit(1)), F.lit(0.0)).alias("rho"))
     whole = graph.agg(F.avg("dist").alias("all_mean"))
-    target = F.log2(F.lit(float(k))) * scale
+    target = F.log2(F.lit(float(scale * k)))
     inf = F.lit(float("inf"))
 
     def step(s, _):

@@ -2,8 +2,7 @@
 
 The exact search deals rows to blocks of at most about BLOCK rows and compares every pair of blocks in a task by one
 matrix product, keeping k a row; a second grouping keeps k of those. Memory is bounded by two blocks, nothing is
-broadcast or collected. The approximate search compares rows of the same leaf of random-projection trees, then the
-neighbours of neighbours for a few rounds.
+broadcast or collected. The approximate search is in ``descent``.
 """
 
 from __future__ import annotations
@@ -27,6 +26,14 @@ def prepared(x: np.ndarray, metric: str) -> np.ndarray:
     return x
 
 
+def matrix(table: pa.Table, metric: str) -> np.ndarray:
+    """The column vec as a matrix (words of bits need all 64 of theirs)."""
+    flat = table.column("vec").combine_chunks()
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    values = flat.flatten().to_numpy(zero_copy_only=False)
+    return values.astype(np.int64 if metric == "bits" else np.float64, copy=False).reshape(table.num_rows, -1)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Rows of a against rows of b (both prepared)."""
     common = a @ b.T
@@ -66,13 +73,12 @@ def exact(df: DataFrame, k: int = 15, metric: str = "cosine", rows: int | None =
     blocks = max(1, -(-(rows if rows is not None else df.count()) // block))
 
     def run(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("id").to_pylist(), np.int64)
-        asks = np.array(table.column("asks").to_pylist(), bool)
-        x = np.array(table.column("vec").to_pylist(), np.int64 if metric == "bits" else np.float64)  # words of bits need all 64
+        ids, asks = table.column("id").to_numpy(), np.array(table.column("asks"), bool)
+        x = matrix(table, metric)
         q, d = ids[asks], ids[~asks]
         if not len(q) or not len(d):
             return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "raw": pa.array([], pa.float64())})
-        p = prepared(x.reshape(len(ids), -1), metric)
+        p = prepared(x, metric)
         sim = similarity(p[asks], p[~asks], metric)
         if metric in ("cosine", "euclid"):
             sim[q[:, None] == d[None, :]] = 1.0 if metric == "cosine" else 0.0
@@ -96,61 +102,6 @@ def published(graph: DataFrame, metric: str = "cosine") -> DataFrame:
     return graph.select("src", "rank", "dst", dist.alias("dist"))
 
 
-def leaves(df: DataFrame, trees: int, depth: int, dims: int, seed: int = 42) -> DataFrame:
-    """(tree, leaf, id, vec): each tree deals rows by the signs of ``depth`` seeded random projections."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    planes = rng.standard_normal((trees, depth, dims))
-
-    def run(batches):
-        for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            if not len(x):
-                continue
-            for t in range(trees):
-                leaf = ((x @ planes[t].T) > 0) @ (1 << np.arange(depth))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(leaf.astype(np.int64)), batch.column(0), batch.column(1)], names=["tree", "leaf", "id", "vec"])
-
-    return df.select("id", "vec").mapInArrow(run, "tree int, leaf long, id long, vec array<double>")
-
-
-def approximate(df: DataFrame, k: int = 15, trees: int = 8, leaf_rows: int = 256, rounds: int = 2, seed: int = 42) -> DataFrame:
-    """Cosine neighbours by shared leaves, then by neighbours of neighbours (k of them kept each round)."""
-    unit = df.select("id", metrics.normalise(F.col("vec")).alias("vec"))
-    n, dims = unit.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    if not n:
-        return unit.select(F.col("id").alias("src"), F.lit(0).alias("rank"), F.col("id").alias("dst"), F.lit(1.0).alias("raw"))
-    depth = max(0, int(np.ceil(np.log2(max(1, n / leaf_rows)))))
-    dealt = leaves(unit, trees, depth, dims, seed)
-    sizes = dealt.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")  # a crowded leaf is compared block by block
-    dealt = dealt.join(sizes.select("tree", "leaf", parts.alias("parts")), ["tree", "leaf"])
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    both = dealt.select("tree", "leaf", "id", "vec", F.lit(True).alias("asks"), own.alias("qb"), F.explode(every).alias("db")).unionByName(dealt.select("tree", "leaf", "id", "vec", F.lit(False).alias("asks"), F.explode(every).alias("qb"), own.alias("db")))
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, asks = np.array(table.column("id").to_pylist(), np.int64), np.array(table.column("asks").to_pylist(), bool)
-        x = np.array(table.column("vec").to_pylist(), np.float64)
-        sim = x[asks] @ x[~asks].T
-        q, d = ids[asks], ids[~asks]
-        sim[q[:, None] == d[None, :]] = 1.0
-        top = best(sim, d, k)
-        return pa.table({"src": np.repeat(q, top.shape[1]), "dst": d[top].ravel(), "raw": np.take_along_axis(sim, top, 1).ravel()})
-
-    graph = ranked(both.groupBy("tree", "leaf", "qb", "db").applyInArrow(run, "src long, dst long, raw double").distinct(), k)
-    a, b = unit.select(F.col("id").alias("src"), F.col("vec").alias("va")), unit.select(F.col("id").alias("dst"), F.col("vec").alias("vb"))
-    for _ in range(rounds):
-        edge = graph.select("src", "dst")
-        both_ways = edge.union(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        # a row with many reverse neighbours keeps those its hash ranks first, as the search samples candidates
-        w = Window.partitionBy("src").orderBy(F.xxhash64("src", "dst"))
-        some = both_ways.select("src", "dst", F.row_number().over(w).alias("r")).where(F.col("r") <= 2 * k).select("src", "dst")
-        hop = some.select(F.col("src").alias("mid"), F.col("dst").alias("src")).join(some.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").where("src <> dst").distinct()
-        scored = hop.join(a, "src").join(b, "dst").select("src", "dst", metrics.dot(F.col("va"), F.col("vb")).alias("raw"))
-        graph = ranked(graph.select("src", "dst", "raw").unionByName(scored.join(graph.select("src", "dst"), ["src", "dst"], "left_anti")), k)
-    return graph
-
-
 def duplicates(graph: DataFrame) -> DataFrame:
     """(lo, hi) of neighbour pairs (src, rank, dst, dist) at most as far as the largest distance of rank 0."""
     edge = graph.agg(F.max(F.when(F.col("rank") == 0, F.col("dist"))).alias("edge"))

@@ -5,9 +5,10 @@ Randomness is a hash of (seed, id), so results do not depend on how rows are dea
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lodestrata.operators.mst import stored
+from lodestrata.operators.store import stored
 
 UNLABELLED = -1
 
@@ -22,34 +23,59 @@ def seeds(nodes: DataFrame, parts: int, seed: int = 42) -> DataFrame:
     return nodes.select("id").join(picked.select("id", number.cast("long").alias("l")), "id", "left").select("id", F.coalesce("l", F.lit(UNLABELLED)).cast("long").alias("label"))
 
 
-def sweep(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def sweep(edges: DataFrame, labels: DataFrame, revote: bool = False, seed: int = 42) -> DataFrame:
     """One synchronous sweep: an unlabelled node takes the label of most neighbour weight, if that is 1 or more; ties
-    go to the least label."""
+    go to the least label. With ``revote`` a labelled node, too, takes a label of more weight than 1, ties by hash."""
     known = labels.where(F.col("label") >= 0).select(F.col("id").alias("dst"), F.col("label").alias("vote"))
     votes = edges.join(known, "dst").groupBy("src", "vote").agg(F.round(F.sum("weight"), 9).alias("w")).where("w >= 1")
-    won = votes.groupBy(F.col("src").alias("id")).agg(F.min_by("vote", F.struct((-F.col("w")).alias("w"), "vote")).alias("vote"))
-    return labels.join(won, "id", "left").select("id", F.when(F.col("label") >= 0, F.col("label")).otherwise(F.coalesce("vote", "label")).alias("label"))
-
-
-def outliers(edges: DataFrame, labels: DataFrame, parts: int, rounds: int = 8, seed: int = 42) -> DataFrame:
+    tie = F.xxhash64(F.lit(seed), "src", "vote") if revote else F.col("vote")
+    won = votes.groupBy(F.col("src").alias("id")).agg(F.min_by(F.struct("vote", "w"), F.struct((-F.col("w")).alias("w"), tie.alias("tie"), "vote")).alias("best"))
+    stays = F.col("label") >= 0
+    if revote:
+        stays = stays & ~F.coalesce(F.col("best.w") > 1, F.lit(False))
+    return labels.join(won, "id", "left").select("id", F.when(stays, F.col("label")).otherwise(F.coalesce("best.vote", "label")).alias("label"))
+
+
+def swept(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """``sweep`` on arrays: ends as places in ``label``."""
+    use = (label[dst] >= 0) & (label[src] < 0)
+    if not use.any():
+        return label
+    width = int(label.max()) + 1
+    key, inverse = np.unique(src[use] * width + label[dst[use]], return_inverse=True)
+    w = np.round(np.bincount(inverse, weight[use]), 9)
+    key, w = key[w >= 1], w[w >= 1]
+    node, vote = key // width, key % width
+    order = np.lexsort((vote, -w, node))
+    first = order[np.flatnonzero(np.append(True, node[order][1:] != node[order][:-1]))] if len(order) else order
+    out = label.copy()
+    out[node[first]] = vote[first]
+    return out
+
+
+def outliers(edges: DataFrame, labels: DataFrame, parts: int, rounds: int = 64, seed: int = 42) -> DataFrame:
     """Nodes still unlabelled take the least label among those nearest by hops; beyond ``rounds`` hops one by hash."""
+    waiting = None
     for _ in range(rounds):
         known = labels.where(F.col("label") >= 0).select(F.col("id").alias("dst"), F.col("label").alias("vote"))
         near = edges.join(known, "dst").groupBy(F.col("src").alias("id")).agg(F.min("vote").alias("vote"))
         labels = stored(labels.join(near, "id", "left").select("id", F.when(F.col("label") >= 0, F.col("label")).otherwise(F.coalesce("vote", "label")).alias("label")))
-        if labels.where(F.col("label") < 0).isEmpty():
+        left = labels.where(F.col("label") < 0).count()
+        if left in (0, waiting):  # a round that reaches nobody repeats itself
             break
+        waiting = left
     return labels.select("id", F.when(F.col("label") >= 0, F.col("label")).otherwise(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(parts))).alias("label"))
 
 
-def partitions(edges: DataFrame, nodes: DataFrame, parts: int, sweeps: int = 20, seed: int = 42) -> DataFrame:
-    """(id, part) with parts numbered from 0 without gaps."""
-    labels = seeds(nodes, parts, seed)
+def partitions(edges: DataFrame, nodes: DataFrame, parts: int, sweeps: int = 20, seed: int = 42, revote: bool = False) -> DataFrame:
+    """(id, part) with parts numbered from 0 without gaps. With ``revote`` nodes change sides and a quarter more seeds
+    are drawn."""
+    labels = seeds(nodes, parts * 5 // 4 if revote else parts, seed)
     waiting = None
-    for _ in range(sweeps):
-        labels = stored(sweep(edges, labels))
+    for turn in range(sweeps):
+        labels = stored(sweep(edges, labels, revote, seed + turn))
         left = labels.where(F.col("label") < 0).count()
-        if left in (0, waiting):  # a sweep that labels nothing repeats itself
+        if not revote and left in (0, waiting):  # a sweep that labels nothing repeats itself
             break
         waiting = left
     labels = outliers(edges, labels, parts, seed=seed)

@@ -1,7 +1,8 @@
 """Node embedding: attraction along sampled edges, repulsion from hashed others, epoch by epoch.
 
-An epoch is one pass over edges in tasks: each reads a broadcast of the positions (4 to 15 numbers a node) and sums moves
-by node; a group-by adds them. Graphs of more than BROADCAST_NODES nodes are refused.
+Graphs of up to LOCAL_EDGES edges and LOCAL_NODES nodes run all epochs in one task. In larger ones an epoch joins the places
+of both ends to its due edges and of hashed others to their repulsions, sums moves by node and writes the next places:
+nothing is broadcast or collected, whatever the number of nodes.
 """
 
 from __future__ import annotations
@@ -9,11 +10,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from lodestrata.operators.mst import stored
+from lodestrata.operators.store import forget, stored
 
-BROADCAST_NODES = 1_000_000
-#: Edges up to which one task runs all epochs.
-LOCAL_EDGES = 2_000_000
+#: Edges and nodes up to which one task runs all epochs.
+LOCAL_EDGES, LOCAL_NODES = 2_000_000, 500_000
 #: Intervals of an edge between its repulsions.
 REPULSION = 1.5
 
@@ -73,61 +73,135 @@ def advance(pos: np.ndarray, momentum: np.ndarray, delta: np.ndarray, rate: floa
     return pos + step, step * ((1 - rate) ** 2 * 0.5)
 
 
-def embed(edges: DataFrame, nodes: DataFrame, dims: int, epochs: int = 50, start: DataFrame | None = None, alpha: float = 0.5, noise_level: float = 0.5, seed: int = 42) -> DataFrame:
-    """(id, pos). ``start`` gives first places (id, pos); without it they are noise of a quarter.
+def schedule(epochs: int, alpha: float) -> tuple[list[float], list[float]]:
+    """Strength of repulsion and rate of moves by epoch."""
+    return [0.5 + e / max(1, epochs - 1) for e in range(epochs)], [alpha * (1 - max(e - 1, 0) / epochs) for e in range(epochs)]
+
+
+def local_embed(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, ids: np.ndarray, pos: np.ndarray, epochs: int, alpha: float, noise_level: float, seed: int) -> np.ndarray:
+    """All epochs on arrays; ends are places in ``ids``, edges in the order of their ends."""
+    if not len(src):
+        return pos
+    every = 1 / np.maximum(weight / weight.max(), 1.0 / epochs)
+    gammas, rates = schedule(epochs, alpha)
+    momentum = np.zeros_like(pos)
+    for e in range(epochs):
+        pos, momentum = advance(pos, momentum, epoch_moves(ids, pos, src, dst, every, e, gammas[e], noise_level, seed), rates[e])
+    return pos
+
 
-    Positions of at most BROADCAST_NODES nodes are held on the driver between epochs.
-    """
+def embed(edges: DataFrame, nodes: DataFrame, dims: int, epochs: int = 50, start: DataFrame | None = None, alpha: float = 0.5, noise_level: float = 0.5, seed: int = 42) -> DataFrame:
+    """(id, pos). ``start`` gives first places (id, pos); without it they are noise of a quarter."""
     rows = nodes.count()
-    if rows > BROADCAST_NODES:
-        raise ValueError(f"{rows} nodes; coarsen the graph first (at most {BROADCAST_NODES})")
+    edges = stored(edges.select("src", "dst", "weight"))
+    if start is None:
+        begin = nodes.select("id", F.lit(None).cast("array<double>").alias("pos"))
+    else:
+        begin = nodes.select("id").join(start.select("id", "pos"), "id", "left")
+
+    def placed(t):
+        ids = t.column("id").to_numpy()
+        pos = (unit_noise(ids, seed, dims) - 0.5) * 0.5
+        have = np.flatnonzero(np.array(t.column("pos").is_valid()))
+        if len(have):
+            pos[have] = np.array(t.column("pos").take(have).to_pylist(), float).reshape(len(have), dims)
+        return ids, pos
+
+    if edges.count() <= LOCAL_EDGES and rows <= LOCAL_NODES:
+        return local_layout(edges, begin, placed, epochs, alpha, noise_level, seed)
+    return joined_layout(edges, begin, placed, dims, epochs, alpha, noise_level, seed)
+
+
+def local_layout(edges: DataFrame, begin: DataFrame, placed, epochs: int, alpha: float, noise_level: float, seed: int) -> DataFrame:
+    def whole(e, v):
+        import pyarrow as pa
+
+        ids, pos = placed(v)
+        order = np.argsort(ids)
+        ids, pos = ids[order], pos[order]
+        order = np.lexsort((e.column("dst").to_numpy(), e.column("src").to_numpy()))
+        src, dst = (np.searchsorted(ids, e.column(c).to_numpy()[order]) for c in ("src", "dst"))
+        pos = local_embed(src, dst, e.column("weight").to_numpy()[order], ids, pos, epochs, alpha, noise_level, seed)
+        return pa.table({"id": ids, "pos": pa.array(list(pos), pa.list_(pa.float64()))})
+
+    e, v = stored(edges.withColumn("one", F.lit(0))), stored(begin.withColumn("all", F.lit(0)))
+    return e.groupBy("one").cogroup(v.groupBy("all")).applyInArrow(whole, "id long, pos array<double>")
+
+
+def numbered(begin: DataFrame) -> tuple[DataFrame, int]:
+    """(place, id, pos) with places from 0 by id, and their number: counts by range of ids, then rows in each range."""
+    ranged = stored(begin.repartitionByRange("id").withColumn("range", F.spark_partition_id()))
+    counts = sorted((r["range"], r["n"]) for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    before, total = [], 0
+    for k, n in counts:
+        before.append((k, total))
+        total += n
+    offsets = F.broadcast(ranged.sparkSession.createDataFrame(before, "range int, before long"))
+    from pyspark.sql import Window
+
+    inner = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1
+    return ranged.withColumn("inner", inner).join(offsets, "range").select((F.col("before") + F.col("inner")).alias("place"), "id", "pos"), total
+
+
+def joined_layout(edges: DataFrame, begin: DataFrame, placed, dims: int, epochs: int, alpha: float, noise_level: float, seed: int) -> DataFrame:
+    import pyarrow as pa
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                _, pos = placed(t)
+                yield pa.RecordBatch.from_arrays([t.column("place").combine_chunks(), t.column("id").combine_chunks(), pa.array(list(pos), pa.list_(pa.float64()))], names=["place", "id", "pos"])
+
+    table, n = numbered(begin)
+    state = stored(table.mapInArrow(first, "place long, id long, pos array<double>").withColumn("momentum", F.array(*[F.lit(0.0)] * dims)))
     top = edges.agg(F.max("weight")).first()[0]
-    spark = nodes.sparkSession
-    ids = np.array(sorted(r["id"] for r in nodes.select("id").collect()), np.int64)
-    pos = (unit_noise(ids, seed, dims) - 0.5) * 0.5
-    if start is not None:
-        got = {r["id"]: r["pos"] for r in start.collect()}
-        pos = np.array([got.get(int(i), p) for i, p in zip(ids, pos, strict=True)])
-    if top is None or not len(ids):
-        return spark.createDataFrame([(int(i), [float(v) for v in p]) for i, p in zip(ids, pos, strict=True)], "id long, pos array<double>")
-    edges = stored(edges.select("src", "dst", (1 / F.greatest(F.col("weight") / top, F.lit(1.0 / epochs))).alias("every")))
-    gammas = [0.5 + e / max(1, epochs - 1) for e in range(epochs)]
-    rates = [alpha * (1 - max(e - 1, 0) / epochs) for e in range(epochs)]
-    if edges.count() <= LOCAL_EDGES:
-        begin = spark.sparkContext.broadcast((ids, pos))
-
-        def whole(batches):
-            import pyarrow as pa
-
-            ids, pos = begin.value
-            t = pa.Table.from_batches(list(batches))
-            order = np.lexsort((t.column(1).to_numpy(), t.column(0).to_numpy()))
-            src, dst = (np.searchsorted(ids, t.column(i).to_numpy()[order]) for i in (0, 1))
-            every, momentum = t.column(2).to_numpy()[order], np.zeros_like(pos)
-            for e in range(epochs):
-                pos, momentum = advance(pos, momentum, epoch_moves(ids, pos, src, dst, every, e, gammas[e], noise_level, seed), rates[e])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(pos), pa.list_(pa.float64()))], names=["id", "pos"])
-
-        return edges.coalesce(1).mapInArrow(whole, "id long, pos array<double>")
-    momentum = np.zeros_like(pos)
+    if top is None:
+        return state.select("id", "pos")
+    number = state.select("place", "id")
+    ends = edges.join(number.select(F.col("id").alias("src"), F.col("place").alias("a")), "src").join(number.select(F.col("id").alias("dst"), F.col("place").alias("b")), "dst")
+    ends = stored(ends.select("src", "dst", "a", "b", (1 / F.greatest(F.col("weight") / top, F.lit(1.0 / epochs))).alias("every")))
+    gammas, rates = schedule(epochs, alpha)
     for epoch in range(epochs):
-        shared = spark.sparkContext.broadcast((ids, pos))
+        rate = rates[epoch]
 
-        def run(batches, shared=shared, epoch=epoch):
-            import pyarrow as pa
-
-            ids, pos = shared.value
-            total = np.zeros_like(pos)
+        def due(batches, epoch=epoch):
+            """The due edges, and a row for each of their repulsions with the place of the other node."""
+            for batch in batches:
+                src, dst, a, b, every = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+                nth = np.floor(epoch / every)
+                at = np.flatnonzero(nth > np.floor((epoch - 1) / every))
+                if not len(at):
+                    continue
+                every, nth = every[at], nth[at]
+                times = pushed(epoch, every) - np.where(nth > 1, pushed(np.ceil((nth - 1) * every), every), 0)
+                draws = unit_noise(src[at] * np.int64(1_000_003) + dst[at], seed + epoch + 1, int(times.max()))
+                who, to, kind = [a[at]], [b[at]], [np.zeros(len(at), np.int32)]
+                for k in range(draws.shape[1]):
+                    some = np.flatnonzero(times > k)
+                    who.append(a[at[some]])
+                    to.append((draws[some, k] * n).astype(np.int64))
+                    kind.append(np.ones(len(some), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (who, to, kind)], names=["a", "b", "push"])
+
+        def moved(batches, epoch=epoch):
             for batch in batches:
-                src, dst = (np.searchsorted(ids, batch.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
-                total += epoch_moves(ids, pos, src, dst, batch.column(2).to_numpy(zero_copy_only=False), epoch, gammas[epoch], noise_level, seed)
-            moved = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(list(total[moved]), pa.list_(pa.float64()))], names=["id", "d"])
-
-        each = edges.mapInArrow(run, "id long, d array<double>").select("id", F.posexplode("d").alias("i", "x")).groupBy("id", "i").agg(F.sum("x").alias("x")).collect()
-        delta = np.zeros_like(pos)
-        if each:
-            delta[np.searchsorted(ids, [r["id"] for r in each]), [r["i"] for r in each]] = [r["x"] for r in each]
-        pos, momentum = advance(pos, momentum, delta, rates[epoch])
-        shared.unpersist()
-    return spark.createDataFrame([(int(i), [float(v) for v in p]) for i, p in zip(ids, pos, strict=True)], "id long, pos array<double>")
+                if batch.num_rows:
+                    p, q = (np.array(batch.column(i).to_pylist(), float) for i in (2, 3))
+                    push = batch.column(1).to_numpy(zero_copy_only=False) > 0
+                    step = np.where(push[:, None], pushes(p, q, gammas[epoch]), moves(p, q, noise_level))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(step[:, k].copy()) for k in range(dims)]], names=["place", *[f"d{k}" for k in range(dims)]])
+
+        pos = state.select("place", "pos")
+        pairs = ends.mapInArrow(due, "a long, b long, push int")
+        pairs = pairs.join(pos.select(F.col("place").alias("b"), F.col("pos").alias("q")), "b").join(pos.select(F.col("place").alias("a"), F.col("pos").alias("p")), "a")
+        steps = pairs.select("a", "push", "p", "q").mapInArrow(moved, "place long, " + ", ".join(f"d{k} double" for k in range(dims)))
+        sums = steps.groupBy("place").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(dims)])
+        delta = F.array(*[F.coalesce(F.round(f"d{k}", 9), F.lit(0.0)) for k in range(dims)])
+        step = F.zip_with("momentum", delta, lambda m, d: m + rate * d)
+        then = state.join(sums, "place", "left").withColumn("step", step)
+        then = stored(then.select("place", "id", F.zip_with("pos", "step", lambda x, s: x + s).alias("pos"), F.transform("step", lambda s: s * ((1 - rate) ** 2 * 0.5)).alias("momentum")))
+        if epoch:
+            forget(state)  # the first is read for its numbers
+        state = then
+    return state.select("id", "pos")

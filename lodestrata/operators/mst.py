@@ -1,81 +1,202 @@
 """Minimum spanning trees on mutual-reachability distance, by rounds that merge components.
 
-Up to LOCAL_ROWS rows (counted first) one task grows the tree from dense distances. Beyond that, every round finds each row's nearest row of another component (block pairs, exact), keeps the least edge of each
-component under the order (weight, low id, high id), and contracts. Rounds are at most log2(rows).
+Up to LOCAL_ROWS rows (counted first) one task grows the tree from dense distances. Beyond that rows lie in space-partitioned
+blocks. Core distances: each row's nearest rows of its own block bound its distance, and it asks only blocks whose box is
+nearer. Rounds: each component's least edge within blocks (or, where a block holds one component only, the farthest corner
+of another box) bounds its weight, and a row asks only blocks that hold another component and whose box is not beyond the
+bound, if its own core distance is not. The least edge of each component under the order (weight, low id, high id) joins
+the tree, and components are contracted. Rounds are at most log2(rows).
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodestrata.operators import knn
+from lodestrata.operators import knn, spatial
+from lodestrata.operators.store import forget, stored
 
 
 #: Rows up to which one task builds the tree; its memory is a few arrays of this length beside the vectors.
 LOCAL_ROWS = 16_384
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written in spark.checkpoint.dir (a temporary folder only where that is unset) and read back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "lodestrata")
-    path = f"{root}/steps/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def nearest(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """The k least distances of each row of a from rows of b, ascending; infinite where there are fewer."""
+    out = np.full((len(a), k), np.inf)
+    for lo in range(0, len(a), 1024):
+        d = -knn.similarity(a[lo : lo + 1024], b, "euclid")
+        m = min(k, d.shape[1])
+        out[lo : lo + 1024, :m] = np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1) if m else d
+    return out
 
 
-def core_distances(df: DataFrame, min_samples: int = 5) -> DataFrame:
+def core_distances(df: DataFrame, min_samples: int = 5, block: int = spatial.BLOCK) -> DataFrame:
     """id, core: Euclidean distance to the min_samples-th other row (of all rows, if fewer); 0 for min_samples <= 1."""
     if min_samples <= 1:
         return df.select("id", F.lit(0.0).alias("core"))
-    near = knn.exact(df, min_samples + 1, "euclid")
-    return near.groupBy(F.col("src").alias("id")).agg(F.max(-F.col("raw")).alias("core"))
-
-
-def foreign(df: DataFrame, blocks: int) -> DataFrame:
-    """(comp, weight, lo, hi) candidates: for each row the best edge to a row of another component, by block pair."""
-    b = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    base = df.select("id", "vec", "core", "comp", b.alias("own"))
-    both = base.select("id", "vec", "core", "comp", F.lit(True).alias("asks"), F.col("own").alias("qb"), F.explode(every).alias("db")).unionByName(base.select("id", "vec", "core", "comp", F.lit(False).alias("asks"), F.explode(every).alias("qb"), F.col("own").alias("db")))
-
-    def run(table: pa.Table) -> pa.Table:
-        col = lambda c, t: np.array(table.column(c).to_pylist(), t)
-        ids, comp, core, asks = col("id", np.int64), col("comp", np.int64), col("core", float), col("asks", bool)
-        x = col("vec", float).reshape(len(ids), -1)
-        dist = -knn.similarity(x[asks], x[~asks], "euclid")
-        dist = np.maximum(np.maximum(dist, core[asks][:, None]), core[~asks][None, :])
-        dist[comp[asks][:, None] == comp[~asks][None, :]] = np.inf
-        q, d, own = ids[asks], ids[~asks], comp[asks]
-        weight = dist.min(axis=1, initial=np.inf)
-        rows = []
-        for i in np.flatnonzero(np.isfinite(weight)):
-            ties = d[dist[i] == weight[i]]
-            rows.append(min((min(q[i], j), max(q[i], j)) for j in ties.tolist()))
-        keep = np.isfinite(weight)
-        lo, hi = ([r[k] for r in rows] for k in (0, 1))
-        return pa.table({"comp": pa.array(own[keep], pa.int64()), "weight": pa.array(weight[keep], pa.float64()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
-
-    return both.groupBy("qb", "db").applyInArrow(run, "comp long, weight double, lo long, hi long")
-
-
-def least_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    rows = df.count()
+    if not rows:
+        return df.select("id", F.lit(0.0).alias("core"))
+    k = min(min_samples + 1, rows)  # a row is its own nearest
+    table = spatial.blocked(df.select("id", "vec"), rows, block)
+    boxes = spatial.boxes_of(table)
+    shared = df.sparkSession.sparkContext.broadcast(boxes)
+
+    def within(t: pa.Table) -> pa.Table:
+        b, x, own = shared.value, knn.matrix(t, "euclid"), t.column("block")[0].as_py()
+        near = nearest(x, x, k)
+        far = near[:, -1]
+        place = int(np.searchsorted(b.ids, own))
+        others = np.flatnonzero((b.apart(place) < far.max()) & (b.ids != own))
+        targets = [[]] * len(x)
+        for lo in range(0, len(x), 256):
+            reach = b.least(x[lo : lo + 256], others) < far[lo : lo + 256, None]
+            targets[lo : lo + 256] = [b.ids[others[r]].tolist() for r in reach]
+        return pa.table({"id": t.column("id"), "vec": t.column("vec"), "near": pa.array(list(near), pa.list_(pa.float64())), "targets": pa.array(targets, pa.list_(pa.int64()))})
+
+    local = stored(table.groupBy("block").applyInArrow(within, "id long, vec array<double>, near array<double>, targets array<long>"))
+
+    def beyond(ask: pa.Table, held: pa.Table) -> pa.Table:
+        if not ask.num_rows or not held.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.float64()))})
+        near = nearest(knn.matrix(ask, "euclid"), knn.matrix(held, "euclid"), k)
+        return pa.table({"id": ask.column("id"), "near": pa.array(list(near), pa.list_(pa.float64()))})
+
+    asking = local.where(F.size("targets") > 0).select("id", "vec", F.explode("targets").alias("target"))
+    more = spatial.meet(asking, table, beyond, "id long, near array<double>")
+    each = local.select("id", "near").unionByName(more)
+    # a row asks the few blocks around it, so its lists are few
+    return each.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near")))[k - 1].alias("core"))
+
+
+def best_edges(ids: np.ndarray, comp: np.ndarray, weight: np.ndarray, to: np.ndarray) -> pa.Table:
+    """The least edge of each component, of one candidate a row, by (weight, low id, high id)."""
+    keep = np.isfinite(weight)
+    ids, comp, weight, to = ids[keep], comp[keep], weight[keep], to[keep]
+    lo, hi = np.minimum(ids, to), np.maximum(ids, to)
+    order = np.lexsort((hi, lo, weight, comp))
+    first = order[np.flatnonzero(np.append(True, comp[order][1:] != comp[order][:-1]))] if len(order) else order
+    return pa.table({"comp": comp[first], "weight": weight[first], "lo": lo[first], "hi": hi[first]})
+
+
+def foreign(ids: np.ndarray, x: np.ndarray, core: np.ndarray, comp: np.ndarray, other: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Weight and end of each row's least edge to a row of another component, ties by (low id, high id)."""
+    oid, ox, ocore, ocomp = other
+    weight, to = np.full(len(ids), np.inf), np.full(len(ids), -1, np.int64)
+    for lo in range(0, len(ids), 1024):
+        s = slice(lo, lo + 1024)
+        d = np.maximum(np.maximum(-knn.similarity(x[s], ox, "euclid"), core[s][:, None]), ocore[None])
+        d[comp[s][:, None] == ocomp[None]] = np.inf
+        weight[s] = d.min(axis=1, initial=np.inf)
+        tied = (d == weight[s][:, None]) & np.isfinite(d)
+        for i in np.flatnonzero(tied.any(axis=1)).tolist():
+            own, ends = ids[lo + i], oid[tied[i]]
+            to[lo + i] = ends[np.lexsort((np.maximum(ends, own), np.minimum(ends, own)))[0]] if len(ends) > 1 else ends[0]
+    return weight, to
+
+
+def columns_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return t.column("id").to_numpy(), knn.matrix(t, "euclid"), t.column("core").to_numpy(), t.column("comp").to_numpy()
+
+
+def candidate_edges(state: DataFrame, boxes: spatial.Boxes) -> DataFrame:
+    """(comp, weight, lo, hi): the least edge of every component of (id, vec, core, comp, block) to another one."""
+    spark = state.sparkSession
+    pure = state.groupBy("block").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a = b").collect()  # a row a block at most
+    only = np.full(len(boxes.ids), -1, np.int64)  # the component of a block that has one
+    for r in pure:
+        only[np.searchsorted(boxes.ids, r["block"])] = r["a"]
+    shared = spark.sparkContext.broadcast((boxes, only))
+    schema = "comp long, weight double, lo long, hi long"
+
+    def within(t: pa.Table) -> pa.Table:
+        """Least edges inside a block; a block of one component gives a bound without an edge instead."""
+        b, pure = shared.value
+        ids, x, core, comp = columns_of(t)
+        place = int(np.searchsorted(b.ids, t.column("block")[0].as_py()))
+        if pure[place] < 0:
+            return best_edges(ids, comp, *foreign(ids, x, core, comp, (ids, x, core, comp)))
+        others = np.flatnonzero(pure != pure[place])
+        bound = np.inf
+        if len(others):
+            near = others[np.argsort(b.apart(place)[others], kind="stable")[:64]]  # any box gives a bound; the nearest give good ones
+            for lo in range(0, len(x), 1024):
+                most = np.maximum(np.maximum(b.most(x[lo : lo + 1024], near), core[lo : lo + 1024, None]), b.core[near][None])
+                bound = min(bound, float(most.min()))
+        return pa.table({"comp": pa.array([comp[0]], pa.int64()), "weight": pa.array([bound], pa.float64()), "lo": pa.array([None], pa.int64()), "hi": pa.array([None], pa.int64())})
+
+    local = stored(state.groupBy("block").applyInArrow(within, schema))
+    bounds = local.groupBy("comp").agg(F.min("weight").alias("bound"))
+
+    def asks(t: pa.Table) -> pa.Table:
+        b, pure = shared.value
+        ids, x, core, comp = columns_of(t)
+        bound, own = t.column("bound").to_numpy(), t.column("block")[0].as_py()
+        able = np.flatnonzero(core <= bound)
+        targets: list = [[]] * len(ids)
+        if len(able):
+            reach = bound[able].max()
+            others = np.flatnonzero((b.apart(int(np.searchsorted(b.ids, own))) <= reach) & (b.ids != own))
+            for lo in range(0, len(able), 256):
+                at = able[lo : lo + 256]
+                hit = (b.least(x[at], others) <= bound[at][:, None]) & (pure[others][None] != comp[at][:, None])
+                for i, row in zip(at.tolist(), hit, strict=True):
+                    targets[i] = b.ids[others[row]].tolist()
+        return pa.table({"id": t.column("id"), "vec": t.column("vec"), "core": t.column("core"), "comp": t.column("comp"), "targets": pa.array(targets, pa.list_(pa.int64()))})
+
+    bounded = state.join(bounds, "comp")
+    asking = bounded.groupBy("block").applyInArrow(asks, "id long, vec array<double>, core double, comp long, targets array<long>")
+    asking = asking.select("id", "vec", "core", "comp", F.explode("targets").alias("target"))
+
+    def beyond(ask: pa.Table, held: pa.Table) -> pa.Table:
+        if not ask.num_rows or not held.num_rows:
+            return pa.table({"comp": pa.array([], pa.int64()), "weight": pa.array([], pa.float64()), "lo": pa.array([], pa.int64()), "hi": pa.array([], pa.int64())})
+        mine = columns_of(ask)
+        return best_edges(mine[0], mine[3], *foreign(*mine, columns_of(held)))
+
+    more = spatial.meet(asking, state, beyond, schema)
+    every = local.where("lo is not null").unionByName(more)
+    return every.groupBy("comp").agg(F.min(F.struct("weight", "lo", "hi")).alias("e")).select("comp", "e.*")
+
+
+def least_labels(edges: DataFrame, nodes: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(node, label): the least node of each component of (a, b) over ``nodes`` (column node)."""
+    nodes = stored(nodes.select("node"))
+    if nodes.count() <= local_rows:
+        both = stored(edges.select("a", "b").union(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+
+        def run(batches):
+            t = pa.Table.from_batches(list(batches), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
+            ids = np.unique(a[a == b])
+            label = np.arange(len(ids))
+            a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+            while True:
+                low = np.minimum(label[a], label[b])
+                then = label.copy()
+                np.minimum.at(then, label[a], low)
+                np.minimum.at(then, label[b], low)
+                then = then[then]
+                if (then == label).all():
+                    break
+                label = then
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["node", "label"])
+
+        return both.coalesce(1).mapInArrow(run, "node long, label long")
     ends = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(nodes.select("node", F.col("node").alias("label")))
+    labels = last = stored(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = ends.join(labels.select(F.col("node").alias("b"), F.col("label").alias("via")), "b").groupBy(F.col("a").alias("node")).agg(F.min("via").alias("m"))
         low = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
         step = stored(low.join(jump, "label").select("node", "old", F.least("label", "to").alias("label")))
-        labels = step.select("node", "label")
-        if step.where("label <> old").isEmpty():
+        done = step.where("label <> old").isEmpty()
+        forget(last)
+        labels, last = step.select("node", "label"), step
+        if done:
+            forget(ends)
             return labels
 
 
@@ -101,38 +222,42 @@ def local_tree(rows: DataFrame) -> DataFrame:
         got = pa.Table.from_batches(list(batches))
         ids, core = (np.array(got.column(c).to_pylist(), t) for c, t in (("id", np.int64), ("core", float)))
         order = np.argsort(ids)
-        x = np.array(got.column("vec").to_pylist(), float)[order]
+        x = knn.matrix(got, "euclid")[order]
         lo, hi, w = grown(ids[order], x, core[order])
         yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(w)], names=["src", "dst", "weight"])
 
-    return rows.coalesce(1).mapInArrow(run, "src long, dst long, weight double")
+    return stored(rows).coalesce(1).mapInArrow(run, "src long, dst long, weight double")
 
 
-def spanning_tree(df: DataFrame, min_samples: int = 5, block: int = knn.BLOCK, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def spanning_tree(df: DataFrame, min_samples: int = 5, block: int = spatial.BLOCK, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(src, dst, weight) of the tree over (id, vec): rows - 1 edges."""
     rows = df.count()
     empty = df.sparkSession.createDataFrame([], "src long, dst long, weight double")
     if rows < 2:
         return empty
+    with_core = df.join(core_distances(df, min_samples, block), "id").select("id", "vec", "core")
     if rows <= local_rows:
-        return local_tree(df.join(core_distances(df, min_samples), "id").select("id", "vec", "core"))
-    state = stored(df.join(core_distances(df, min_samples), "id").select("id", "vec", "core", F.col("id").alias("comp")))
-    tree, parts = empty, rows
-    blocks = max(1, -(-rows // block))
+        return local_tree(with_core)
+    base = spatial.blocked(with_core, rows, block)
+    boxes = spatial.boxes_of(base)
+    place, tree, parts = stored(base.select("id", F.col("id").alias("comp"))), [], rows
     while parts > 1:
-        best = foreign(state, blocks).groupBy("comp").agg(F.min(F.struct("weight", "lo", "hi")).alias("e")).select("comp", "e.*")
-        best = stored(best)
-        new = best.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight").distinct()
-        tree = stored(tree.unionByName(new))
-        place = state.select("id", "comp")
+        state = stored(base.join(place, "id"))
+        best = stored(candidate_edges(state, boxes))
+        new = stored(best.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "weight").distinct())
+        tree.append(new)
         ends = new.join(place.select(F.col("id").alias("src"), F.col("comp").alias("a")), "src").join(place.select(F.col("id").alias("dst"), F.col("comp").alias("b")), "dst").select("a", "b")
-        labels = least_labels(ends, place.select(F.col("comp").alias("node")).distinct())
-        state = stored(state.join(labels, F.col("comp") == F.col("node")).select("id", "vec", "core", F.col("label").alias("comp")))
-        left = state.select("comp").distinct().count()
+        labels = least_labels(ends, place.select(F.col("comp").alias("node")).distinct(), local_rows)
+        then = stored(place.join(labels, F.col("comp") == F.col("node")).select("id", F.col("label").alias("comp")))
+        left = then.select("comp").distinct().count()
         if left >= parts:
             raise RuntimeError("a round added no edge")
-        parts = left
-    return tree
+        forget(state, best, place)
+        place, parts = then, left
+    out = empty
+    for new in tree:  # as many as rounds
+        out = out.unionByName(new)
+    return out
 
 
 def cut_labels(tree: DataFrame, nodes: DataFrame, cut: float, min_size: int) -> DataFrame:

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.functions import metrics
-from lodestrata.operators import estimator, fuzzy, hierarchy, knn, labelprop, layout, mst, quality
+from lodestrata.operators import descent, estimator, fuzzy, hierarchy, knn, labelprop, layout, mst, quality
+from lodestrata.operators.store import stored
 from lodestrata.sources import vectors
 
 QUERIES: dict = {}
@@ -130,23 +131,35 @@ def mutual_reachability_edges(spark, sf_dir):
     return both.select("src", "dst", F.round(F.greatest(-F.col("raw"), "ca", "cb"), 6).alias("weight"))
 
 
-BAL = "b AS (SELECT c_custkey AS id, c_acctbal AS x FROM customer WHERE c_nationkey = 7)"
+# A line: the distinct balances of all customers, in 2048ths of a cent's hundred, so that differences are exact.
+BAL = "b AS (SELECT min(c_custkey) AS id, CAST(round(c_acctbal * 100) AS BIGINT) / 2048.0 AS x FROM customer GROUP BY CAST(round(c_acctbal * 100) AS BIGINT))"
 
 
 def line(spark, sf_dir) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey = 7")
-    return c.select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal")).alias("vec"))
+    cents = F.round(F.col("c_acctbal") * 100).cast("long").alias("cents")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(cents).agg(F.min("c_custkey").alias("id"))
+    return c.select("id", F.array(F.col("cents") / 2048.0).alias("vec"))
 
 
-@query(f"WITH {BAL} SELECT count(*) AS edges, round(sum(gap), 3) AS total FROM (SELECT x - lag(x) OVER (ORDER BY x, id) AS gap FROM b) WHERE gap IS NOT NULL")
+@query(f"WITH {BAL} SELECT count(*) AS edges, round(sum(gap), 3) AS total FROM (SELECT x - lag(x) OVER (ORDER BY x) AS gap FROM b) WHERE gap IS NOT NULL")
 def mst_1d_gaps(spark, sf_dir):
     return mst.spanning_tree(line(spark, sf_dir), 1).agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("weight"), 3).alias("total"))
 
 
-@query(f"WITH {BAL}, j AS (SELECT id, x, CASE WHEN x - lag(x) OVER (ORDER BY x, id) < 100 THEN 0 ELSE 1 END AS new FROM b), r AS (SELECT id, sum(new) OVER (ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS run FROM j), s AS (SELECT run, min(id) AS least, count(*) AS n FROM r GROUP BY run), k AS (SELECT run, row_number() OVER (ORDER BY least) - 1 AS label FROM s WHERE n >= 3) SELECT r.id, CAST(coalesce(k.label, -1) AS INTEGER) AS label FROM r LEFT JOIN k ON r.run = k.run")
+@query(f"WITH {BAL}, j AS (SELECT id, x, CASE WHEN x - lag(x) OVER (ORDER BY x) < 1.25 THEN 0 ELSE 1 END AS new FROM b), r AS (SELECT id, sum(new) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) AS run FROM j), s AS (SELECT run, min(id) AS least, count(*) AS n FROM r GROUP BY run), k AS (SELECT run, row_number() OVER (ORDER BY least) - 1 AS label FROM s WHERE n >= 3) SELECT r.id, CAST(coalesce(k.label, -1) AS INTEGER) AS label FROM r LEFT JOIN k ON r.run = k.run")
 def cut_labels_1d(spark, sf_dir):
-    rows = line(spark, sf_dir)
-    return mst.cut_labels(mst.spanning_tree(rows, 1), rows, 100.0, 3)
+    rows = stored(line(spark, sf_dir))
+    return mst.cut_labels(mst.spanning_tree(rows, 1), rows, 1.25, 3)
+
+
+# Kruskal's components cannot be grown in SQL; a tree is checked by what defines its weight: for each of some cuts, the
+# edges below it leave as many components as the whole graph of mutual reachability does.
+@query(f"WITH RECURSIVE {knn_sql(6, EUC, V)}, c AS (SELECT src AS id, max(-raw) AS core FROM g GROUP BY src), q AS (SELECT unnest([1.0, 1.15, 1.25, 1.35]) AS share), m AS (SELECT avg(core) AS core FROM c), e AS (SELECT share, a.id AS src, b.id AS dst FROM q, m, v a JOIN c x ON x.id = a.id JOIN v b ON a.id <> b.id JOIN c y ON y.id = b.id WHERE x.core < share * m.core AND y.core < share * m.core AND sqrt(greatest(list_inner_product(a.e, a.e) + list_inner_product(b.e, b.e) - 2 * list_inner_product(a.e, b.e), 0)) < share * m.core), r AS (SELECT share, id AS node, id AS label FROM q, v UNION SELECT e.share, e.dst, r.label FROM r JOIN e ON e.share = r.share AND e.src = r.node WHERE r.label < e.dst), l AS (SELECT share, node, min(label) AS label FROM r GROUP BY share, node) SELECT share, count(DISTINCT label) AS components FROM l GROUP BY share")
+def mst_components(spark, sf_dir):
+    rows = stored(emb(spark, sf_dir))
+    tree, core = stored(mst.spanning_tree(rows, 5, local_rows=1)), mst.core_distances(rows, 5)
+    cuts = core.agg(F.avg("core").alias("m"), F.count(F.lit(1)).alias("n")).select("n", F.explode(F.array(*[F.struct(F.lit(s).alias("share"), (F.col("m") * s).alias("cut")) for s in (1.0, 1.15, 1.25, 1.35)])).alias("c")).select("n", "c.*")
+    return tree.join(F.broadcast(cuts), F.col("weight") < F.col("cut"), "right").groupBy("share", "n").agg(F.count("weight").alias("edges")).select("share", (F.col("n") - F.col("edges")).alias("components"))
 
 
 @query()
@@ -177,69 +190,136 @@ def coarse_graph(spark, sf_dir):
     return labelprop.coarse(fuzzy.symmetrised(fuzzy_edges(spark, sf_dir)), v.select("id", (F.col("id") % 8).alias("part"))).select("src", "dst", six("weight"))
 
 
-# Trees of fixed size -----------------------------------------------------------------------------------------------
+# Hierarchies of the line ---------------------------------------------------------------------------------------------
 
-#: A line of 17 points: gaps make three to five groups and one outlier.
-LINE = [0, 1, 2, 4, 10, 11, 12, 13, 14, 40, 41, 43, 44, 52, 53, 54, 100]
-# Its condensed cluster rows at minimum size 3 (parent, child, 1/lambda, size).
-ROWS3 = "(17, 18, 26, 7), (17, 19, 26, 9), (19, 20, 6, 4), (19, 21, 6, 5), (18, 22, 8, 3), (18, 23, 8, 4)"
+# The line's tree joins neighbours, so its condensed tree follows from cutting a stretch at its largest gap (of equal ones
+# at the last in the order of merging), which SQL can do level by level: rows of (lo, hi) stretches of places, with the
+# cluster (a, b) that each belongs to.
+#: Least size of a cluster in the queries below.
+LEAST = 5
+TREE = (
+    f"WITH RECURSIVE {BAL}, p AS (SELECT id, x, row_number() OVER (ORDER BY x) AS i FROM b), n AS (SELECT max(i) AS n FROM p), "
+    "o AS (SELECT q.i, q.x - p.x AS gap, row_number() OVER (ORDER BY q.x - p.x, least(p.id, q.id), greatest(p.id, q.id)) AS o FROM p JOIN p q ON q.i = p.i + 1), "
+    "s AS (SELECT CAST(1 AS BIGINT) AS lo, n AS hi, CAST(1 AS BIGINT) AS a, n AS b, CAST(0 AS BIGINT) AS depth FROM n UNION ALL SELECT * FROM ("
+    "WITH w AS (SELECT s.lo, s.hi, s.a, s.b, s.depth, max(o.o) AS o FROM s JOIN o ON o.i > s.lo AND o.i <= s.hi GROUP BY ALL), "
+    "c AS (SELECT w.*, o.i AS cut FROM w JOIN o ON o.o = w.o), "
+    f"k AS (SELECT c.*, cut - lo >= {LEAST} AS l, hi - cut + 1 >= {LEAST} AS r FROM c) "
+    "SELECT lo, cut - 1 AS hi, CASE WHEN r THEN lo ELSE a END AS a, CASE WHEN r THEN cut - 1 ELSE b END AS b, depth + 1 AS depth FROM k WHERE l "
+    "UNION ALL SELECT cut, hi, CASE WHEN l THEN cut ELSE a END, CASE WHEN l THEN hi ELSE b END, depth + 1 FROM k WHERE r) WHERE hi > lo), "
+    "w AS (SELECT s.lo, s.hi, s.a, s.b, max(o.o) AS o FROM s JOIN o ON o.i > s.lo AND o.i <= s.hi GROUP BY ALL), "
+    f"e AS (SELECT w.lo, w.hi, w.a, w.b, o.i AS cut, o.gap, o.i - w.lo AS nl, w.hi - o.i + 1 AS nr, o.i - w.lo >= {LEAST} AS l, w.hi - o.i + 1 >= {LEAST} AS r FROM w JOIN o ON o.o = w.o), "
+    "cl AS (SELECT a AS pa, b AS pb, lo AS a, cut - 1 AS b, nl AS size, gap, least(nl, nr) AS small FROM e WHERE l AND r UNION ALL SELECT a, b, cut, hi, nr, gap, least(nl, nr) FROM e WHERE l AND r), "
+    "pt AS (SELECT p.id, e.a, e.b, e.gap FROM e JOIN p ON p.i BETWEEN e.lo AND e.hi WHERE NOT (l AND r) AND (CASE WHEN p.i < e.cut THEN NOT l ELSE NOT r END)), "
+    "lf AS (SELECT a, b FROM cl UNION SELECT 1, n FROM n EXCEPT SELECT pa, pb FROM cl), "
+    "sc AS (SELECT c.a, c.b, coalesce(x.s, 0) + coalesce(y.s, 0) - coalesce(z.size / z.gap, 0) AS score FROM (SELECT a, b FROM cl UNION SELECT 1, n FROM n) c LEFT JOIN (SELECT a, b, sum(1 / gap) AS s FROM pt GROUP BY a, b) x ON x.a = c.a AND x.b = c.b LEFT JOIN (SELECT pa, pb, sum(size / gap) AS s FROM cl GROUP BY pa, pb) y ON y.pa = c.a AND y.pb = c.b LEFT JOIN cl z ON z.a = c.a AND z.b = c.b), "
+    f"iv AS (SELECT c.a, c.b, c.size, CAST(coalesce((SELECT max(d.small) FROM cl d WHERE d.pa >= c.a AND d.pb <= c.b), {LEAST}) AS DOUBLE) AS birth, CAST(c.small AS DOUBLE) AS death, exp(-c.gap) AS w FROM cl c), "
+    f"rt AS (SELECT CAST(coalesce(max(small), {LEAST}) AS DOUBLE) AS birth FROM cl)"
+)
 
 
-def line_linkage() -> np.ndarray:
-    i = np.arange(len(LINE) - 1)
-    return hierarchy.linkage(i, i + 1, np.diff(LINE).astype(float))
+def on_tree(spark, sf_dir, rows, schema: str) -> DataFrame:
+    """``rows(condensed tree of the line, ids)`` as a table, made in one task from the stored tree."""
+    nodes = stored(line(spark, sf_dir))
+    return estimator.in_one_task(mst.spanning_tree(nodes, 1), nodes, lambda link, ids: rows(hierarchy.condense(link, LEAST), ids), schema)
 
 
-def table(spark, rows: list, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def by_cluster(c: hierarchy.Condensed) -> dict[int, tuple[float, int, int]]:
+    """cluster -> (distance of birth, size, parent) of all clusters but the root."""
+    k = c.cluster_rows()
+    return {x: (1 / lam, s, p) for x, lam, s, p in zip(k.child.tolist(), k.lam.tolist(), k.size.tolist(), k.parent.tolist(), strict=True)}
 
 
-@query(f"SELECT min(size) AS least, max(size) AS most, count(*) AS n FROM (VALUES {ROWS3}) AS t(parent, child, d, size)")
+def size_of(c: hierarchy.Condensed, x: int, own: dict) -> int:
+    return own[x][1] if x in own else c.n
+
+
+@query(f"{TREE} SELECT size, coalesce(pb - pa + 1, 0) AS parent_size, round(gap, 11) AS distance FROM cl")
 def condensed_clusters(spark, sf_dir):
-    k = hierarchy.condense(line_linkage(), 3).cluster_rows()
-    return table(spark, [(int(s),) for s in k.size], "size long").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n"))
+    def rows(c, ids):
+        own = by_cluster(c)
+        return [(s, size_of(c, p, own), round(d, 11)) for d, s, p in own.values()]
 
+    return on_tree(spark, sf_dir, rows, "size long, parent_size long, distance double")
 
-@query("SELECT * FROM (VALUES (20), (21), (22), (23)) AS t(cluster)")
+
+@query(f"{TREE} SELECT lf.b - lf.a + 1 AS size, round(coalesce(cl.gap, 0), 11) AS distance FROM lf LEFT JOIN cl ON cl.a = lf.a AND cl.b = lf.b")
 def leaves(spark, sf_dir):
-    return table(spark, [(int(x),) for x in hierarchy.leaf_clusters(hierarchy.condense(line_linkage(), 3))], "cluster int")
+    def rows(c, ids):
+        own = by_cluster(c)
+        return [(size_of(c, x, own), round(own[x][0], 11) if x in own else 0.0) for x in hierarchy.leaf_clusters(c)]
+
+    return on_tree(spark, sf_dir, rows, "size long, distance double")
 
 
-@query("SELECT x AS i, CASE WHEN x = 16 THEN 0.0 WHEN x = 3 THEN 0.5 ELSE 1.0 END AS strength, CASE WHEN x = 16 THEN TRUE ELSE FALSE END AS noise FROM (SELECT unnest(range(0, 17)) AS x)")
+@query(f"{TREE}, q AS (SELECT pt.*, min(gap) OVER (PARTITION BY a, b) AS top FROM pt JOIN lf USING (a, b)) SELECT p.id, round(coalesce(q.top / q.gap, 0), 6) AS strength, q.id IS NULL AS noise FROM p LEFT JOIN q ON q.id = p.id")
 def strengths(spark, sf_dir):
-    c = hierarchy.condense(line_linkage(), 3)
-    chosen = hierarchy.leaf_clusters(c)
-    label = hierarchy.labels(c, chosen)
-    s = hierarchy.strengths(c, chosen, label)
-    return table(spark, [(i, float(round(v, 6)), bool(n < 0)) for i, (v, n) in enumerate(zip(s, label, strict=True))], "i long, strength double, noise boolean")
+    def rows(c, ids):
+        chosen = hierarchy.leaf_clusters(c)
+        label = hierarchy.labels(c, chosen)
+        s = hierarchy.strengths(c, chosen, label)
+        return [(i, round(v, 6), n < 0) for i, v, n in zip(ids.tolist(), s.tolist(), label.tolist(), strict=True)]
 
+    return on_tree(spark, sf_dir, rows, "id long, strength double, noise boolean")
 
-@query("SELECT CAST(score AS DOUBLE) AS score, n FROM (VALUES (0.60577, 1), (0.63712, 1), (1.0, 2), (1.15385, 1), (1.5, 1), (2.625, 1), (2.83333, 1), (4.16667, 1)) AS t(score, n)")
+
+@query(f"{TREE} SELECT b - a + 1 AS size, round(score, 5) AS score FROM sc")
 def eom_scores(spark, sf_dir):
-    scores = hierarchy.node_scores(hierarchy.condense(line_linkage(), 2))
-    return table(spark, [(float(round(v, 5)),) for v in scores.values()], "score double").groupBy("score").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    def rows(c, ids):
+        own = by_cluster(c)
+        return [(size_of(c, x, own), round(v, 5)) for x, v in hierarchy.node_scores(c).items()]
 
+    return on_tree(spark, sf_dir, rows, "size long, score double")
 
-@query()
+
+# Excess of mass is checked by what defines its choice: chosen clusters are disjoint, and no single cluster outweighs the
+# chosen ones under it.
+@query("SELECT TRUE AS disjoint, TRUE AS heaviest")
 def eom_clusters(spark, sf_dir):
-    return table(spark, [(int(x),) for x in hierarchy.mass_clusters(hierarchy.condense(line_linkage(), 2))], "cluster int")
+    def rows(c, ids):
+        own, score, chosen = by_cluster(c), hierarchy.node_scores(c), hierarchy.mass_clusters(c)
+        up = {x: {x} for x in score}
+        for x in sorted(own):  # parents come first
+            up[x] = up[own[x][2]] | {x}
+        disjoint = not any(x in up[y] for x in chosen for y in chosen if x != y)
+        under = {x: sum(score[y] for y in chosen if x in up[y]) for x in score}
+        heaviest = all(score[x] <= under[x] + 1e-9 for x in own if not up[x] & set(chosen) or x in chosen or any(x in up[y] for y in chosen))
+        return [(disjoint, bool(heaviest))]
 
+    return on_tree(spark, sf_dir, rows, "disjoint boolean, heaviest boolean")
 
-INTERVALS = "(18, 3.0, 7.0, 0.9), (19, 4.0, 7.0, 0.8), (20, 3.0, 4.0, 0.7), (21, 3.0, 4.0, 0.6), (22, 3.0, 3.5, 0.5), (23, 5.0, 6.0, 0.4)"
 
+@query(f"{TREE} SELECT size, birth, death, round(w, 6) AS weight FROM iv")
+def barcode(spark, sf_dir):
+    def rows(c, ids):
+        births, deaths, lam = hierarchy.barcode(c, LEAST)
+        own = by_cluster(c)
+        return [(own[x][1], float(births[x - c.n]), float(deaths[x - c.n]), round(float(lam[x - c.n]), 6)) for x in own]
 
-@query(f"WITH t AS (SELECT * FROM (VALUES {INTERVALS}) AS t(c, birth, death, w)) SELECT CAST(s.birth AS DOUBLE) AS size, CAST(round(sum((t.death - t.birth) * t.w), 6) AS DOUBLE) AS persistence FROM (SELECT DISTINCT birth FROM t) s JOIN t ON s.birth >= t.birth AND s.birth < t.death GROUP BY s.birth")
+    return on_tree(spark, sf_dir, rows, "size long, birth double, death double, weight double")
+
+
+@query(f"{TREE}, bs AS (SELECT DISTINCT birth FROM iv UNION SELECT birth FROM rt) SELECT bs.birth AS size, round(coalesce(sum((iv.death - iv.birth) * iv.w), 0), 6) AS persistence FROM bs LEFT JOIN iv ON bs.birth >= iv.birth AND bs.birth < iv.death GROUP BY bs.birth")
 def total_persistence(spark, sf_dir):
-    rows = sorted(spark.sql(f"SELECT c, CAST(birth AS DOUBLE), CAST(death AS DOUBLE), CAST(w AS DOUBLE) FROM VALUES {INTERVALS} AS t(c, birth, death, w)").collect())  # six rows
-    births, deaths, lam = np.array([r[1:] for r in [rows[0], *rows]]).T  # the first stands for the root, which counts nowhere
-    return table(spark, [(float(x), float(round(v, 6))) for x, v in zip(*hierarchy.total_persistence(births, deaths, lam), strict=True)], "size double, persistence double")
+    def rows(c, ids):
+        at, score = hierarchy.total_persistence(*hierarchy.barcode(c, LEAST))
+        return [(float(x), round(float(v), 6)) for x, v in zip(at, score, strict=True)]
 
+    return on_tree(spark, sf_dir, rows, "size double, persistence double")
 
-@query("SELECT * FROM (VALUES (3.0, 0.0), (4.0, 0.0), (7.0, 0.0)) AS t(size, zero)")
-def barcode(spark, sf_dir):
-    births, deaths, lam = hierarchy.barcode(hierarchy.condense(line_linkage(), 3), 3)
-    at, _ = hierarchy.total_persistence(births, deaths, lam)
-    return table(spark, [(float(x), 0.0) for x in at], "size double, zero double")
+
+# Merging below a distance is checked by what defines it: no cluster that stays was born nearer than that, unless none above.
+@query("SELECT TRUE AS far")
+def epsilon_clusters(spark, sf_dir):
+    def rows(c, ids):
+        own = by_cluster(c)
+        edge = float(np.median([d for d, *_ in own.values()])) if own else 0.0
+        return [(all(x not in own or own[x][0] >= edge for x in hierarchy.merge_below(c, hierarchy.leaf_clusters(c), edge)),)]
+
+    return on_tree(spark, sf_dir, rows, "far boolean")
+
+
+def table(spark, rows: list, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
 
 
 @query("WITH x AS (SELECT l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY l_linenumber), w AS (SELECT k, n, lag(n) OVER (ORDER BY k) AS a, lead(n) OVER (ORDER BY k) AS b FROM x) SELECT k FROM w WHERE n > a AND n > b")
@@ -289,19 +369,38 @@ def clustering_score(spark, sf_dir):
 
 @query()
 def knn_approx(spark, sf_dir):
-    return knn.published(knn.approximate(emb(spark, sf_dir))).select("src", "rank", "dst", six("dist"))
+    return knn.published(descent.search(emb(spark, sf_dir))).select("src", "rank", "dst", six("dist"))
+
+
+def typed(spark, sf_dir) -> dict[str, DataFrame]:
+    """The embeddings as vectors of each metric."""
+    v = emb(spark, sf_dir)
+    return {"cosine": v, "int8": v.select("id", F.transform(metrics.quantised(F.col("vec")), lambda x: x.cast("double")).alias("vec")), "bits": v.select("id", F.array(metrics.sign_word(F.col("vec"))).alias("vec"))}
+
+
+# A share of at least 0.9 of the entries of each list is as near as the exact list's last.
+@query("SELECT metric, TRUE AS recalled FROM (VALUES ('bits'), ('cosine'), ('int8')) AS t(metric)")
+def knn_recall(spark, sf_dir):
+    out = None
+    for metric, v in typed(spark, sf_dir).items():
+        exact = knn.exact(v, 15, metric)
+        edge = exact.groupBy("src").agg(F.min("raw").alias("edge"), F.count(F.lit(1)).alias("n"))
+        near = descent.search(v, 15, metric).join(edge, "src").groupBy("src", "n").agg(F.sum((F.col("raw") >= F.col("edge") - 1e-9).cast("long")).alias("hit"))
+        row = near.select(F.lit(metric).alias("metric"), "hit", "n").groupBy("metric").agg((F.sum("hit") >= 0.9 * F.sum("n")).alias("recalled"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query()
 def partitions(spark, sf_dir):
     v = emb(spark, sf_dir)
-    return labelprop.partitions(mst.stored(fuzzy.symmetrised(fuzzy_edges(spark, sf_dir))), v.select("id"), 32)
+    return labelprop.partitions(stored(fuzzy.symmetrised(fuzzy_edges(spark, sf_dir))), v.select("id"), 32)
 
 
 @query()
 def node_layout(spark, sf_dir):
     v = emb(spark, sf_dir)
-    g = knn.published(mst.stored(knn.exact(v)))
+    g = knn.published(stored(knn.exact(v)))
     return layout.embed(fuzzy.symmetrised(fuzzy.memberships(g, fuzzy.bandwidths(g, 15))), v.select("id"), 4)
 
 
@@ -316,7 +415,28 @@ def fit_layers(spark, sf_dir):
     return out.layers.select("layer", "id", "label", six("strength"))
 
 
-@query()
+@query("SELECT 0 AS layer, 10 AS n_clusters, 0.0 AS persistence")
 def fit_n_clusters(spark, sf_dir):
     out, _ = fitted(spark, sf_dir, approx_n_clusters=10)
     return out.scores
+
+
+# What a fit must keep: every row once in each layer, clusters numbered without gaps, strengths of 0 to 1 and 0 for noise,
+# layers by falling number of clusters.
+@query("SELECT count(*) AS row_count, TRUE AS whole, TRUE AS dense, TRUE AS bounded, TRUE AS falling FROM embeddings")
+def fit_invariants(spark, sf_dir):
+    out, b = fitted(spark, sf_dir)
+    rows, layers = stored(out.layers), F.col("layer")
+    per = rows.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), (F.max("label") + 1).alias("k"), F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("seen"), F.min(((F.col("strength") >= 0) & (F.col("strength") <= 1) & ((F.col("label") >= 0) | (F.col("strength") == 0))).cast("int")).alias("ok"))
+    n = b.agg(F.count(F.lit(1)).alias("row_count"))
+    order = F.array_sort(F.collect_list(F.struct(layers.alias("layer"), "k")))
+    falls = F.forall(F.sequence(F.lit(2), F.greatest(F.size("o"), F.lit(2))), lambda i: F.coalesce(F.try_element_at("o", i)["k"] <= F.try_element_at("o", i - 1)["k"], F.lit(True)))
+    one = per.join(F.broadcast(n)).groupBy("row_count").agg(F.min(((F.col("n") == F.col("row_count")) & (F.col("ids") == F.col("n"))).cast("int")).alias("w"), F.min((F.col("k") == F.col("seen")).cast("int")).alias("d"), F.min("ok").alias("s"), order.alias("o"))  # one row beside a layer each
+    return one.select("row_count", (F.col("w") == 1).alias("whole"), (F.col("d") == 1).alias("dense"), (F.col("s") == 1).alias("bounded"), falls.alias("falling"))
+
+
+# What a partition must keep: every row in one part, parts numbered without gaps.
+@query("SELECT count(*) AS row_count, TRUE AS dense FROM embeddings")
+def partition_invariants(spark, sf_dir):
+    p = partitions(spark, sf_dir)
+    return p.agg(F.count(F.lit(1)).alias("row_count"), (F.max("part") + 1 == F.countDistinct("part")).alias("dense"))
