@@ -2,13 +2,13 @@
 
 Texts and templates are word sequences. Every run of ``GRAM`` words is hashed and the least hash of each ``WINDOW``
 neighbouring runs is a fingerprint, so any common stretch of GRAM + WINDOW - 1 words shares one. An inverted index of
-the templates' fingerprints (a few hundred entries) gives candidate diagonals; each group of near diagonals is aligned
+the templates' fingerprints gives candidate diagonals; each group of near diagonals is aligned
 with its template in a band, and the path gives the matched words and the span in the text. The words before and behind a
 match are searched for further copies.
 
 Defined results: null and empty texts have no match; repeated rows give repeated matches; an empty table gives an
 empty table; texts are scanned whole; of matches of several templates on one span the one with more matched words
-stays, ties by template name.
+stays, ties by template name; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from bisect import bisect_right, insort
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from lodestrata.llm import vec
 from lodestrata.llm.common import text_map
@@ -25,6 +25,8 @@ from lodestrata.llm.common import text_map
 GRAM, WINDOW, BAND = 3, 3, 12
 #: Share of a template's words that a match covers at least.
 COVERAGE = 0.8
+#: Characters of all templates at most.
+TEMPLATE_CHARS = 20_000_000
 
 # Public license notices and texts, by name.
 TEMPLATES = {
@@ -49,6 +51,19 @@ TEMPLATES = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, version 2.0.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0",
+    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
+    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX-BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX-GPL-2.0": "SPDX-License-Identifier: GPL-2.0",
+    "SPDX-GPL-3.0": "SPDX-License-Identifier: GPL-3.0",
+    "SPDX-MPL-2.0": "SPDX-License-Identifier: MPL-2.0",
     "as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
 }
 
@@ -192,10 +207,23 @@ def matches(index: Index, texts: list[str], coverage: float = COVERAGE) -> list[
     return sorted((m for ms in kept.values() for m in ms), key=lambda m: (m[0], m[4], m[1]))
 
 
-def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """One row per match: doc_id, license, coverage, matched_words, start, end."""
+def template_table(templates: DataFrame, name: str = "name", text: str = "text", most: int = TEMPLATE_CHARS) -> dict[str, str]:
+    """Templates of a table, as ``scan`` takes them; null names and texts are left out, and of equal names the least text
+    counts. Their size is checked before they are read, as every task gets them all."""
+    rows = templates.where(F.col(name).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(text).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"{size} characters of templates; at most {most} go to every task")
+    return {r["name"]: r["text"] for r in rows.orderBy("name").collect()}
+
+
+def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] | DataFrame | None = None, coverage: float = COVERAGE) -> DataFrame:
+    """One row per match: doc_id, license, coverage, matched_words, start, end. ``templates``: by name, or a table of name
+    and text."""
     schema = f"doc_id {dict(df.dtypes)[doc_id]}, license string, coverage double, matched_words int, start bigint, end bigint"
-    items = tuple((templates or TEMPLATES).items())
+    if isinstance(templates, DataFrame):
+        templates = template_table(templates)
+    items = tuple((TEMPLATES if templates is None else templates).items())
 
     def make():
         index = index_of(items)

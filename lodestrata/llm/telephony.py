@@ -157,15 +157,17 @@ def describe(tag: int, pcm: np.ndarray) -> str:
     return f"{NAMES[tag]};n={len(pcm)};peak={int(np.abs(wide).max()) if len(pcm) else 0};rms={rms};zc={crossings};crc={zlib.crc32(pcm.astype('<i2')):08x}"
 
 
-def to_audio(df: DataFrame, text: str = "text", doc_id: str = "doc_id", with_media: bool = False) -> DataFrame:
+def to_audio(df: DataFrame, text: str = "text", doc_id: str = "doc_id", with_media: bool = False, with_pcm: bool = False) -> DataFrame:
     """Store each text's padded bytes as audio, read it back, expand and resample.
 
-    The coding is mu-law, A-law or IMA ADPCM by the payload's CRC-32. With ``with_media`` the file and the 16 kHz
-    PCM come as binary columns.
+    The coding is mu-law, A-law or IMA ADPCM by the payload's CRC-32. With ``with_pcm`` the 16 kHz PCM (16-bit, little
+    endian) comes as a binary column to be stored, with ``with_media`` the file too.
     """
     schema = f"doc_id {dict(df.dtypes)[doc_id]}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     if with_media:
-        schema += ", media binary, pcm binary"
+        schema += ", media binary"
+    if with_media or with_pcm:
+        schema += ", pcm binary"
 
     def make():
         def kernel(texts, kept):
@@ -178,7 +180,9 @@ def to_audio(df: DataFrame, text: str = "text", doc_id: str = "doc_id", with_med
             sha = lambda items: [hashlib.sha256(x).hexdigest() for x in items]
             out = {"doc_id": kept[doc_id], "n_bytes": list(map(len, raw)), "payload_bytes": list(map(len, back)), "payload_sha256": sha(back), "tail_crc32": [zlib.crc32(b[-32:]) for b in back], "media_bytes": list(map(len, media)), "media_sha256": sha(media), "feature": [describe(f[0], x) for f, x in zip(files, pcm, strict=True)]}
             if with_media:
-                out |= {"media": media, "pcm": [x.astype("<i2").tobytes() for x in pcm]}
+                out["media"] = media
+            if with_media or with_pcm:
+                out["pcm"] = [x.astype("<i2").tobytes() for x in pcm]
             return out
 
         return kernel

@@ -314,3 +314,16 @@ def test_pipeline_end_to_end(spark):
     sizes = {i: int(n) + 1 for (i, _), n in zip(rows, np.diff(first), strict=True)}
     assert out.groupby("doc_id").length.sum().to_dict() == sizes
     assert (out.groupby("sequence_id").length.sum() <= 1024).all()
+
+
+def test_templates_from_a_table(spark):
+    rows = [("house", "all rights in this work belong to the house of words"), ("house", "zzz"), (None, "x"), ("empty", None)]
+    table = spark.createDataFrame(rows, "name string, text string")
+    d = spark.createDataFrame([(1, "so all rights in this work belong to the house of words here")], "doc_id long, text string")
+    (m,) = licenses.scan(d, templates=table).collect()
+    assert (m["license"], m["start"], m["coverage"]) == ("house", 3, 1.0)
+    with pytest.raises(ValueError, match="at most"):
+        licenses.template_table(table, most=10)
+    assert licenses.scan(d, templates={}).count() == 0
+    (m,) = licenses.matches(licenses.Index(licenses.TEMPLATES), ["// SPDX-License-Identifier: BSD-3-Clause"])
+    assert m[1] == "SPDX-BSD-3-Clause"
