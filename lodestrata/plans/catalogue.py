@@ -344,6 +344,12 @@ def adjusted_rand(spark, sf_dir):
     return quality.adjusted_rand(t, "label", "b").select(six("ari"))
 
 
+@query("WITH t AS (SELECT label AS a, vec_id % 7 AS b FROM embeddings), c AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS c FROM t GROUP BY a, b), x AS (SELECT a, sum(c) AS s FROM c GROUP BY a), y AS (SELECT b, sum(c) AS t FROM c GROUP BY b), n AS (SELECT sum(s) AS n FROM x), m AS (SELECT sum(c / n * ln(c * n / (s * t))) AS m FROM c JOIN x USING (a) JOIN y USING (b), n), h AS (SELECT ((SELECT -sum(s / n * ln(s / n)) FROM x, n) + (SELECT -sum(t / n * ln(t / n)) FROM y, n)) / 2 AS h), k AS (SELECT s, t, n, unnest(generate_series(CAST(greatest(1, s + t - n) AS BIGINT), CAST(least(s, t) AS BIGINT))) AS k FROM x, y, n), e AS (SELECT sum(k / n * ln(n * k / (s * t)) * exp(lgamma(s + 1) + lgamma(t + 1) + lgamma(n - s + 1) + lgamma(n - t + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(s - k + 1) - lgamma(t - k + 1) - lgamma(n - s - t + k + 1))) AS e FROM k) SELECT round((m - e) / (h - e), 6) AS ami FROM m, e, h")
+def adjusted_mutual_information(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", (F.col("vec_id") % 7).alias("b"))
+    return table(spark, [(round(quality.adjusted_mutual_information(t, "label", "b"), 6),)], "ami double")
+
+
 @query("WITH t AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.id, a.label, b.label AS other, greatest(list_inner_product(a.e, a.e) + list_inner_product(b.e, b.e) - 2 * list_inner_product(a.e, b.e), 0) AS d FROM t a, t b WHERE a.id <> b.id), m AS (SELECT id, label, other, avg(d) AS m FROM p GROUP BY id, label, other), s AS (SELECT id, label, min(CASE WHEN other <> label THEN m END) AS b, max(CASE WHEN other = label THEN m END) AS a FROM m GROUP BY id, label) SELECT label, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s GROUP BY label")
 def silhouette(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
