@@ -266,6 +266,8 @@ def test_foreign_texts_of_all_lengths_are_rejected(spark):
         real = [r["text"] for r in d.where(held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("text").collect()]
         _, _, rejected = model.predict([t for t in real if sum(map(str.isalpha, t)) >= 16])
         assert rejected.mean() < 0.005
+        _, _, rejected = model.predict(prose := [t for t in real if len(set(t.split())) >= 5])
+        assert rejected.sum() <= max(1, 0.002 * len(prose))
 
 
 def test_places_of_any_length_and_trailing_signs_are_restored():
