@@ -130,8 +130,8 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
         return kernel
 
     freq = np.zeros(2 * size + 1, np.int64)
-    for r in text_map(df, "slot int, n bigint", make, text, ()).groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a table of fixed size
-        freq[r["slot"]] = r["n"]
+    tally = text_map(df, "slot int, n bigint", make, text, ()).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a table of fixed size
+    freq[tally.column("slot").to_numpy()] = tally.column("n").to_numpy()
     return freq[:-1].reshape(2, size), int(freq[-1])
 
 

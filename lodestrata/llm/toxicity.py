@@ -241,8 +241,8 @@ def language_model(df: DataFrame, text: str = "text") -> np.ndarray:
         return kernel
 
     counts = np.zeros(SYMBOLS**3, np.int64)
-    for r in text_map(df, "slot int, n bigint", make, text, ()).groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        counts[r["slot"]] = r["n"]
+    tally = text_map(df, "slot int, n bigint", make, text, ()).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[tally.column("slot").to_numpy()] = tally.column("n").to_numpy()
     return counts
 
 
