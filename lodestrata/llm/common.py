@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Characters of text that one vectorised step works on (a longer single text makes its own step).
 STEP_CHARS = 400_000
@@ -66,7 +67,12 @@ def slices(texts: list[str], limit: int = STEP_CHARS, rows: int = STEP_ROWS) ->
         yield lo, len(texts)
 
 
-def text_map(df: DataFrame, schema: str, make: Callable[[], Callable[[list[str], dict[str, list]], dict]], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fields(df: DataFrame, names: Iterable[str], added: str) -> StructType:
+    """The schema of columns ``names`` of ``df``, whatever names and types they have, and of ``added`` ones."""
+    return StructType([StructField(c, df.schema[c].dataType) for c in names] + StructType.fromDDL(added).fields)
+
+
+def text_map(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[list[str], dict[str, list]], dict]], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Run a vectorised kernel over whole texts.
 
     ``make()`` is called once per task and returns ``kernel(texts, kept) -> columns``; nulls reach the kernel

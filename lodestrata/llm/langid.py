@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestrata.llm import vec
-from lodestrata.llm.common import quoted, stored, text_map
+from lodestrata.llm.common import fields, quoted, stored, text_map
 
 DIM, SAMPLE, CENTROIDS, ROUNDS = 4096, 6000, 4, 12
 #: Languages learned at most, those of most rows: more than have a two-letter code, so only junk labels go beyond it.
@@ -219,9 +219,8 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sa
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The kept columns, lang_pred, score and rejected for every row; ``prefix`` goes before these three names, so that
     kept columns may have them."""
-    types = dict(df.dtypes)
     names = [prefix + n for n in ("lang_pred", "score", "rejected")]
-    schema = ", ".join([f"{quoted(c)} {types[c]}" for c in keep] + [f"{quoted(n)} {k}" for n, k in zip(names, ("string", "double", "boolean"), strict=True)])
+    schema = fields(df, keep, ", ".join(f"{quoted(n)} {k}" for n, k in zip(names, ("string", "double", "boolean"), strict=True)))
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: languages x centroids x DIM
 
     def make():

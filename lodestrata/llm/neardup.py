@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from lodestrata.llm import vec
-from lodestrata.llm.common import forget, quoted, slices, spread_join, stored, text_map
+from lodestrata.llm.common import fields, forget, quoted, slices, spread_join, stored, text_map
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -168,7 +168,7 @@ def signatures(df: DataFrame, idf: np.ndarray, text: str, doc_id: str, keep: tup
 
     rows = keyed(df, text, doc_id, keep)
     names = tuple(c for c in rows.columns if c != "__t")
-    schema = ", ".join([*(f"{quoted(c)} {k}" for c, k in rows.drop("__t").dtypes), "__node binary, __bands array<bigint>, __sketch binary"])
+    schema = fields(rows, names, "__node binary, __bands array<bigint>, __sketch binary")
     found = text_map(rows, schema, make, "__t", names)
     return found.select(F.col("__id").alias("doc_id"), "__ra", "__rb", *[F.col(quoted(c)) for c in keep], F.col("__node").alias("node"), F.col("__bands").alias("bands"), F.col("__sketch").alias("sketch"))
 

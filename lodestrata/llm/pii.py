@@ -14,7 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestrata.llm.common import quoted, text_map
+from lodestrata.llm.common import fields, quoted, text_map
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -131,9 +131,8 @@ SPANS = "array<struct<start:int,end:int,kind:string,score:double>>"
 def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", redacted: bool = False, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """doc_id, pii (spans with kind and score) and, if asked, the redacted text; columns in ``keep`` come along, and
     ``prefix`` goes before the names of the new ones, so that kept columns may have them."""
-    types = dict(df.dtypes)
     names = tuple(dict.fromkeys((doc_id, *keep)))
-    schema = ", ".join([f"{quoted(c)} {types[c]}" for c in names] + [f"{quoted(prefix + 'pii')} {SPANS}"] + [f"{quoted(prefix + 'redacted')} string"] * redacted)
+    schema = fields(df, names, f"{quoted(prefix + 'pii')} {SPANS}" + f", {quoted(prefix + 'redacted')} string" * redacted)
 
     def make():
         def kernel(texts, kept):
