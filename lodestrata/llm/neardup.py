@@ -8,11 +8,12 @@ their samples and, if those leave a chance, by the exact weighted Jaccard simila
 more make classes, by connected components.
 
 A node is a word sequence, named by a 128-bit BLAKE2b digest, so exact copies are one node from the start and ids may be
-null or repeated. In a bucket of up to SMALL nodes all pairs are tested. In a larger one the least node is tested with
-all others, and classes are formed; then the nodes outside the bucket's largest class are tested with all its nodes of
-other classes, block by block, by exact similarities from matrix products, which return links only. Pairs within a class
-need no test and all others get one, so no link is left out, no task gathers a bucket, and the work follows the nodes
-that a group's leader doesn't catch. Joins on a node, bucket or class that many rows share deal its rows to parts.
+null or repeated. In every bucket the least node is tested with all others, and classes are formed. Then, in a bucket of
+up to SMALL nodes, all pairs of different classes are tested; in a larger one, the nodes outside the bucket's largest class
+with all its nodes of other classes, block by block, by exact similarities from matrix products, which return links only.
+Pairs within a class need no test and all others get one, so no link is left out, no task gathers a bucket, and the work
+follows the nodes that a group's leader doesn't catch. Joins on a node, bucket or class that many rows share deal its rows
+to parts.
 
 Defined results: every input row gets one row (repeated rows alike); the class id is the least id of the class, null if
 no row of it has one; texts without a word are alike only if equal; null texts count as empty; rows with null ids join
@@ -186,8 +187,20 @@ def candidate_texts(df: DataFrame, nodes: DataFrame, needed: DataFrame, text: st
     return own.dropDuplicates(["__ra", "__rb"]).select("node", F.col("__t").alias("text"))
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame, counts: DataFrame, least: int = LEAST_AGREEMENT) -> DataFrame:
+def apart(small: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of small buckets in different classes, but for those with the bucket's leader."""
+    placed = small.join(labels, "node", "left").select("band", "node", "lead", F.coalesce("label", "node").alias("label"))
+    open_ = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+    placed = stored(placed.join(open_, "band"), "open")
+    left, right = (placed.where("node != lead").select("band", F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    return left.join(right, "band").where("a < b and la != lb").select("a", "b").distinct()
+
+
+def agreeing(pairs: DataFrame, nodes: DataFrame, counts: DataFrame | None = None, least: int = LEAST_AGREEMENT) -> DataFrame:
     """Pairs (a, b) whose samples agree often enough. ``counts``: (a, n) of nodes that lead many pairs."""
+    if counts is None:
+        pairs = stored(pairs, "asked")
+        counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     left, right = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
     both = spread_join(pairs, left, "a", "b", counts).join(right, "b").select("a", "b", "sa", "sb")
     schema = both.select("a", "b").schema
@@ -351,23 +364,23 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold
     member = nodes.where("bands is not null").select("node", F.explode("bands").alias("band"))
     sizes = stored(member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "bucket-sizes")
     member = stored(spread_join(member, sizes, "band", "node", sizes.select("band", "n")), "buckets")
-    small = member.where(F.col("n") <= SMALL)
-    pairs = small.select("band", F.col("node").alias("a")).join(small.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
-    star = member.where((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    leads = sizes.where(F.col("n") > SMALL).groupBy(F.col("lead").alias("a")).agg(F.sum("n").alias("n"))
-    pairs = stored(agreeing(pairs.union(star).distinct(), nodes, leads), "pairs")
-    large = member.where(F.col("n") > SMALL).select("band", "node")
-    has_large = not large.isEmpty()
+    star = member.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    leads = sizes.groupBy(F.col("lead").alias("a")).agg(F.sum("n").alias("n"))
+    pairs = stored(agreeing(star.distinct(), nodes, leads), "pairs")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    needed = needed.union(large.select("node")).distinct() if has_large else needed.distinct()
+    needed = needed.union(member.where("n > 2").select("node")).distinct()  # what the next step may ask for
     texts = stored(candidate_texts(df, nodes, needed, text, doc_id), "candidates")
     links = stored(verified(pairs, texts, idf, threshold), "links")
     labels = components(links)
-    if has_large:
-        more = stored(outside_links(large, labels, texts, idf, threshold), "links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
-    forget(member, sizes, pairs, texts)
+    rest = stored(agreeing(apart(member.where((F.col("n") > 2) & (F.col("n") <= SMALL)), labels), nodes), "pairs")
+    more = verified(rest, texts, idf, threshold)
+    large = member.where(F.col("n") > SMALL).select("band", "node")
+    if not large.isEmpty():
+        more = more.union(outside_links(large, labels, texts, idf, threshold))
+    more = stored(more, "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    forget(member, sizes, pairs, rest, texts)
     ids = labels.join(nodes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n"))
     ids = stored(ids, "class-ids")
     linked = spread_join(labels, ids.select("label", "class_id"), "label", "node", ids.select("label", "n"))
