@@ -1,8 +1,8 @@
 """Benchmark decontamination (op 8): latent semantic retrieval, then common subsequences and answer checks.
 
 Passages are vectors of hashed words, tf * idf, with document frequencies over all passages of the corpus. A randomised
-SVD (range finder with power iterations, computed by tasks over a stored sample of about ``SAMPLE`` distinct passages at
-most, a documented bound for fitting the index) gives a latent space, whitened. Every window of 32 words of every text (16 apart) is
+SVD (range finder with power iterations) of the matrix of all distinct passages, from its Gram matrix, which tasks sum
+over every passage, gives a latent space, whitened; a passage counts once, so that copies don't take the directions. Every window of 32 words of every text (16 apart) is
 projected and compared by cosine with the items; all windows are searched and no number of candidates is capped. Each
 candidate region is then aligned with its item by the longest common subsequence of words.
 
@@ -29,9 +29,9 @@ from lodestrata.llm.common import forget, stored, text_map
 BITS, RANK, OVERSAMPLE, POWER = 12, 128, 16, 2
 DIM = 1 << BITS
 HALF = 16  # words of half a window
-SAMPLE, ITEMS = 50_000, 20_000
-#: Characters of a passage, by which their number is estimated; longer words make the sample smaller.
-PASSAGE_CHARS = 5 * 2 * HALF
+ITEMS = 20_000
+#: Passages that a task sums to one part (DIM x DIM) of the Gram matrix, on average.
+PART_PASSAGES = 1_000_000
 #: Cosine from which a window is a candidate.
 COSINE = 0.4
 COPY, PARAPHRASE, ANSWER, RARE = 0.75, 0.6, 0.8, 0.6
@@ -58,13 +58,12 @@ def passages(w: vec.Words) -> np.ndarray:
     return head[w.doc] + (np.arange(len(w.h)) - w.first[:-1][w.doc]) // (2 * HALF)
 
 
-def surveyed(df: DataFrame, text: str, share: float) -> DataFrame:
+def surveyed(df: DataFrame, text: str) -> DataFrame:
     """One scan of the corpus: (slot, n), partial counts of the passages that hold each hashed word, with their number at
-    slot DIM, and (slots), the word slots of distinct passages that a hash of their words selects with chance ``share``."""
-    edge = np.uint64(min((1 << 64) - 1, int((1 << 64) * min(1.0, share))))
+    slot DIM, and (slots), the word slots of every passage."""
 
     def make():
-        freq, sent = np.zeros(DIM + 1, np.int64), set()  # as many as the sample has passages
+        freq = np.zeros(DIM + 1, np.int64)
 
         def kernel(texts, kept):
             w = vec.Words(texts)
@@ -74,11 +73,9 @@ def surveyed(df: DataFrame, text: str, share: float) -> DataFrame:
             key = np.unique(p * DIM + s)
             freq[:-1] += np.bincount(key % DIM, minlength=DIM)
             freq[-1] += p[-1] + 1
-            head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            own = np.add.reduceat(vec.mix(w.h), head)  # the sum wraps; it is only a hash
-            ends, s = np.append(head[1:], len(p)), s.astype(np.int16)
-            rows = sorted({s[head[i] : ends[i]].tobytes() for i in np.flatnonzero(vec.mix(own) <= edge).tolist()} - sent)
-            sent.update(rows)
+            head = np.flatnonzero(np.append(True, p[1:] != p[:-1])) * 2  # in bytes
+            flat = s.astype(np.int16).tobytes()
+            rows = [flat[a:b] for a, b in zip(head.tolist(), [*head[1:].tolist(), len(flat)], strict=True)]
             return {"slot": [None] * len(rows), "n": [None] * len(rows), "slots": rows}
 
         def finish():
@@ -91,51 +88,90 @@ def surveyed(df: DataFrame, text: str, share: float) -> DataFrame:
     return text_map(df, "slot int, n bigint, slots binary", make, text, ())
 
 
-def matrix(rows: list[bytes], idf: np.ndarray) -> np.ndarray:
-    """Passages x DIM, tf * idf, unit rows."""
-    flat = np.frombuffer(b"".join(rows), np.int16).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) // 2 for r in rows])
-    x = np.bincount(row * DIM + flat, minlength=len(rows) * DIM).reshape(len(rows), DIM).astype(np.float32) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+def add_products(g: np.ndarray, diagonal: np.ndarray, rows: list[bytes], idf: np.ndarray) -> None:
+    """Add x x' of passages, tf * idf in unit rows, to ``g`` (products of a word with later ones) and ``diagonal``."""
+    words = np.array([len(r) // 2 for r in rows])
+    places = np.full((len(rows), 2 * HALF), DIM)
+    places[np.arange(2 * HALF) < words[:, None]] = np.frombuffer(b"".join(rows), np.int16)
+    places = np.ascontiguousarray(places.T)
+    w = np.append(idf, 0).astype(float)[places]
+    square = (w * w).sum(axis=0)
+    for k in range(1, 2 * HALF):  # words k places apart; equal ones make one entry of x
+        square += 2 * (w[k:] * w[:-k] * (places[k:] == places[:-k])).sum(axis=0)
+    w /= np.sqrt(np.maximum(square, 1e-18))
+    at, flat = places * (DIM + 1), g.reshape(-1)
+    for k in range(1, 2 * HALF):
+        np.add.at(flat, (at[:-k] + places[k:]).reshape(-1), (w[:-k] * w[k:]).reshape(-1))
+    diagonal += np.bincount(places.reshape(-1), (w * w).reshape(-1), DIM + 1)
+
+
+def gram(table: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(row, y): the rows of A'A over all stored passages, as 32-bit floats, stored.
+
+    Each task sums about ``PART_PASSAGES`` passages, so what is shuffled is a part of what was read; a task of the sum
+    holds its rows only.
+    """
+    shared = table.sparkSession.sparkContext.broadcast(idf)
+    parts = max(1, -(-table.count() // PART_PASSAGES))
 
+    def rows_of(numbers, values):
+        import pyarrow as pa
 
-def gram_times(table: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A'A q over the stored passages, summed from the tasks' parts (at most 8, each as large as q) in one more task, so
-    that the driver gets a single part."""
-    shared = table.sparkSession.sparkContext.broadcast((idf, q.astype(np.float32)))
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in values], pa.binary())], names=["row", "y"])
 
     def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        weights, basis = shared.value
-        y = np.zeros(basis.shape)
+        g, diagonal = np.zeros((DIM + 1, DIM + 1)), np.zeros(DIM + 1)
         for batch in batches:
             rows = batch.column(0).to_pylist()
             for lo in range(0, len(rows), 512):
-                x = matrix(rows[lo : lo + 512], weights)
-                y += x.T @ (x @ basis)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([y.astype(np.float64).tobytes()])], names=["part", "y"])
+                add_products(g, diagonal, rows[lo : lo + 512], shared.value)
+        for lo in range(0, DIM if diagonal.any() else 0, 256):
+            y = g[lo : lo + 256, :DIM] + g[:DIM, lo : lo + 256].T
+            y[np.arange(256), np.arange(lo, lo + 256)] += diagonal[lo : lo + 256]
+            held = np.flatnonzero(y.any(axis=1))
+            yield rows_of(held + lo, y[held])
 
     def total(batches):
+        sums = {}
+        for batch in batches:
+            for row, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[row] = sums.get(row, 0) + np.frombuffer(y, np.float32).astype(float)
+        numbers = sorted(sums)
+        for lo in range(0, len(numbers), 256):
+            yield rows_of(numbers[lo : lo + 256], [sums[k] for k in numbers[lo : lo + 256]])
+
+    schema = "row int, y binary"
+    return stored(table.coalesce(parts).mapInArrow(run, schema).repartition("row").mapInArrow(total, schema), "gram")
+
+
+def gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+    """A'A q from the stored rows of A'A; the driver gets a matrix as large as q."""
+    shared = rows.sparkSession.sparkContext.broadcast(q.astype(np.float32))
+
+    def run(batches):
         import pyarrow as pa
 
-        parts = sorted((part, y) for batch in batches for part, y in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(np.frombuffer(y) for _, y in parts).tobytes()])], names=["y"])
+        for batch in batches:
+            y = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, DIM) @ shared.value
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype(float).tobytes() for v in y], pa.binary())], names=["row", "y"])
 
-    summed = table.coalesce(8).mapInArrow(run, "part int, y binary").repartition(1).mapInArrow(total, "y binary").collect()
+    found = rows.mapInArrow(run, "row int, y binary").toArrow()  # DIM rows at most
+    out = np.zeros(q.shape)
+    for row, y in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        out[row] = np.frombuffer(y)
     shared.unpersist()
-    return sum((np.frombuffer(r["y"]).reshape(q.shape) for r in summed), np.zeros(q.shape))
+    return out
 
 
 def latent_space(table: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """DIM x rank projection onto whitened right singular vectors (randomised, seeded)."""
     rng = np.random.Generator(np.random.PCG64(8))
+    rows = gram(table, idf)
     q = rng.standard_normal((DIM, rank + OVERSAMPLE))
     for _ in range(POWER):
-        q, _ = np.linalg.qr(gram_times(table, idf, q))
-    values, vectors = np.linalg.eigh(q.T @ gram_times(table, idf, q))
+        q, _ = np.linalg.qr(gram_times(rows, q))
+    values, vectors = np.linalg.eigh(q.T @ gram_times(rows, q))
+    forget(rows)
     top = np.argsort(values)[::-1][:rank]
     values = values[top]
     kept = values > 1e-8 * max(values.max(initial=0), 1e-30)
@@ -292,10 +328,9 @@ class Model:
     idf: np.ndarray
 
 
-def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """Learn from one scan of all texts; the share of passages that it selects follows from the characters of all texts."""
-    chars = df.agg(F.coalesce(F.sum(F.length(F.col(text))), F.lit(0))).first()[0]
-    found = stored(surveyed(df, text, sample * PASSAGE_CHARS / max(chars, 1)), "passages")
+def fit(df: DataFrame, text: str = "text") -> Model:
+    """Learn from one scan of all texts and all their passages."""
+    found = stored(surveyed(df, text), "passages")
     freq = np.zeros(DIM + 1, np.int64)
     tally = found.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # DIM + 1 rows at most
     freq[tally.column("slot").to_numpy()] = tally.column("n").to_numpy()
@@ -303,7 +338,7 @@ def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     idf = np.log((n + 1) / (freq[:-1] + 1)).astype(np.float32)
     if not n:
         return Model(np.zeros((DIM, 1), np.float32), idf)
-    table = stored(found.where("slots is not null").select("slots").distinct(), "sample")
+    table = stored(found.where("slots is not null").select("slots").distinct(), "distinct-passages")
     model = Model(latent_space(table, idf), idf)
     forget(found, table)
     return model

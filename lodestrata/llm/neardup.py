@@ -37,7 +37,7 @@ from lodestrata.llm.common import fields, forget, quoted, slices, spread_join, s
 WORDS, THRESHOLD = 5, 0.5
 BANDS, ROWS = 24, 3
 SAMPLES = BANDS * ROWS
-#: Pairs that agree in fewer samples are not verified: at similarity 0.5 that has a chance of about 2e-5.
+#: Pairs that agree in fewer samples are not verified: at similarity 0.5 that has a chance of about 1e-5.
 LEAST_AGREEMENT = 19
 #: Least idf, as a share of the greatest.
 LEAST_IDF = 0.5
