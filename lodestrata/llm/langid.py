@@ -5,10 +5,11 @@ log(1 + tf) * idf and normalised. Each language has several centroids from spher
 names the language. A text is rejected if its cosine is far below that of held-out training texts of about its size
 or not clearly above what hash collisions give a text in unknown letters of that size, or if it has no letter.
 
-Learning reads only training rows: document frequencies over all of them, centroids from a sample of at most about
-``SAMPLE`` of them (a documented bound) in at most ``LANGUAGES`` languages, chosen by a hash of the text. Rows with equal n-gram counts and language are
-one row of that sample, so copies can't swell it, and k-means runs in one task for each language; the driver gets
-centroids and one cosine a row.
+Learning reads only training rows, in at most ``LANGUAGES`` languages, and all of them: document frequencies, centroids
+and the quantiles of cosines for rejection. K-means starts in one task for each language, on a sample of about ``SAMPLE``
+rows at most, chosen by a hash of the text (rows with equal n-gram counts and language are one row of it, so copies can't
+swell it). Its centroids only say where the whole begins: each becomes the mean of all training rows nearest to it, summed
+in integers by tasks. The cosines of all rows with centroids of the other half of the rows are counted in ``BINS`` bins.
 
 Defined results: null, empty and letterless texts are ``und``, score 0, rejected; with no training rows every text
 is; repeated rows give repeated results; an empty table gives an empty table; texts of any length are read whole; ties go
@@ -30,6 +31,8 @@ from lodestrata.llm.common import fields, quoted, stored, text_map
 DIM, SAMPLE, CENTROIDS, ROUNDS = 4096, 6000, 4, 12
 #: Languages learned at most, those of most rows: more than have a two-letter code, so only junk labels go beyond it.
 LANGUAGES = 512
+#: Bins of a cosine.
+BINS = 10_000
 #: A text is rejected below this share of the 5 % quantile of held-out training cosines in its size class (some per cent
 #: of training rows can be junk), and below this multiple of the cosine of texts of random letters.
 REJECT, COLLISION = 0.35, 1.15
@@ -132,14 +135,114 @@ def collisions(idf: np.ndarray, centroids: np.ndarray, draws: int = 128) -> np.n
     return np.maximum.accumulate(top)
 
 
-def floors_of(held: list[list[float]], collide: np.ndarray) -> np.ndarray:
-    """Cosine by size class below which a text is rejected, from held-out training cosines and those of collisions."""
-    known = [(i, REJECT * float(np.quantile(f, 0.05))) for i, f in enumerate(held) if len(f) >= 20]
+def floors_of(held: np.ndarray, collide: np.ndarray) -> np.ndarray:
+    """Cosine by size class below which a text is rejected, from counts of held-out training cosines (size classes x
+    BINS + 1) and cosines of collisions."""
+    n = held.sum(axis=1)
+    low = (np.cumsum(held, axis=1) > 0.05 * (n[:, None] - 1)).argmax(axis=1) / BINS
+    known = [(i, REJECT * float(low[i])) for i in range(16) if n[i] >= 20]
     # a size class with few training texts takes the share of the nearest smaller one; collisions bound every class
     share = [max((k for k in known if k[0] <= i), default=(0, 0.0))[1] for i in range(16)]
     return np.maximum(share, COLLISION * collide)
 
 
+def vector_keys(tf: np.ndarray) -> tuple[list[bytes], list[int]]:
+    """Counts of each text as bytes and a hash of them; its last bit deals equal texts to the same half."""
+    rows = [row.tobytes() for row in np.log1p(tf).astype(np.float16)]
+    return rows, [int.from_bytes(hashlib.blake2b(row, digest_size=8).digest(), "little", signed=True) for row in rows]
+
+
+def of_languages(rows: DataFrame, idf: np.ndarray, schema: str, make):
+    """``make()`` gives kernel(lang, unit vectors, halves, size classes), called by step and language, and finish()."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+
+    def inner():
+        each, finish = make()
+
+        def kernel(texts, kept):
+            tf, letters = counts(texts)
+            half = np.array(vector_keys(tf)[1], np.int64) & 1
+            x = unit(np.log1p(tf).astype(np.float32) * shared.value)
+            lang = np.array([k if n else "" for k, n in zip(kept["lang"], letters.tolist(), strict=True)], object)
+            for name in sorted(set(lang[letters > 0])):
+                own = np.flatnonzero((lang == name) & (letters > 0))
+                each(name, x[own], half[own], size_class(letters[own]))
+
+        kernel.finish = finish
+        return kernel
+
+    return text_map(rows, schema, inner, "text", ("lang",))
+
+
+def whole_centroids(rows: DataFrame, idf: np.ndarray, starts: dict[str, list[np.ndarray]]) -> dict[str, list[np.ndarray]]:
+    """For each language three sets of centroids, of all rows and of each half: the means of the rows nearest to those of
+    ``starts``, which stay where no row is nearest. Sums are of integers, so no order of rows changes them."""
+    shared = rows.sparkSession.sparkContext.broadcast(starts)
+
+    def make():
+        sums: dict[tuple, np.ndarray] = {}
+
+        def each(name, x, half, sizes):
+            for which, c in enumerate(shared.value.get(name, [])):
+                own = np.flatnonzero(half == which - 1) if which else np.arange(len(x))
+                if not len(c) or not len(own):
+                    continue
+                near = (x[own] @ c.T).argmax(axis=1)
+                whole = np.rint(x[own] * np.float32(1 << 24)).astype(np.int64)
+                for k in np.unique(near).tolist():
+                    sums[name, which, k] = sums.get((name, which, k), 0) + whole[near == k].sum(axis=0)
+
+        def finish():
+            keys = sorted(sums)
+            return {"lang": [k[0] for k in keys], "which": [k[1] for k in keys], "k": [k[2] for k in keys], "y": [sums[k].tobytes() for k in keys]}
+
+        return each, finish
+
+    def total(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        names = ["lang", "which", "k", "y"]
+        for batch in batches:
+            for *key, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[tuple(key)] = sums.get(tuple(key), 0) + np.frombuffer(y, np.int64)
+        for key, y in sums.items():
+            unit_row = unit(y[None, :].astype(float)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()), pa.array([unit_row.tobytes()], pa.binary())], names=names)
+
+    schema = "lang string, which int, k int, y binary"
+    found = of_languages(rows, idf, schema, make).repartition("lang", "which", "k").mapInArrow(total, schema)
+    out = {name: [c.copy() for c in sets] for name, sets in starts.items()}
+    for r in found.collect():  # as many rows as there are centroids
+        out[r["lang"]][r["which"]][r["k"]] = np.frombuffer(r["y"], np.float32)
+    return out
+
+
+def held_cosines(rows: DataFrame, idf: np.ndarray, learned: dict[str, list[np.ndarray]]) -> np.ndarray:
+    """Counts (size classes x BINS + 1) of the best cosine of every row with its language's centroids of the other half."""
+    shared = rows.sparkSession.sparkContext.broadcast(learned)
+
+    def make():
+        tally = np.zeros(16 * (BINS + 1), np.int64)
+
+        def each(name, x, half, sizes):
+            sets = shared.value.get(name, [])
+            for h in (0, 1) if sets else ():
+                own, c = np.flatnonzero(half == h), sets[2 - h]
+                if len(c) and len(own):
+                    best = np.clip((x[own] @ c.T).max(axis=1), 0, 1)
+                    tally[:] += np.bincount(sizes[own] * (BINS + 1) + (best * BINS).astype(np.int64), minlength=len(tally))
+
+        def finish():
+            at = np.flatnonzero(tally)
+            return {"slot": at, "n": tally[at]}
+
+        return each, finish
+
+    found = of_languages(rows, idf, "slot int, n bigint", make).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a table of fixed size
+    tally = np.zeros(16 * (BINS + 1), np.int64)
+    tally[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return tally.reshape(16, BINS + 1)
+
+
 def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES) -> Model:
     """Learn from the rows of ``df`` where ``train`` holds and text and language are not null."""
     rows = df.where(train & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -162,15 +265,13 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sa
             tf, letters = counts(texts)
             df_sum += (tf > 0).sum(axis=0)
             own, keys, rows = [], [], []
-            for i, c in enumerate(kept["chosen"]):
-                if c and letters[i]:
-                    row = np.log1p(tf[i]).astype(np.float16).tobytes()
-                    key = int.from_bytes(hashlib.blake2b(row, digest_size=8).digest(), "little", signed=True)
-                    if (kept["lang"][i], key) not in sent:  # as many as the sample has vectors
-                        sent.add((kept["lang"][i], key))
-                        own.append(i)
-                        keys.append(key)
-                        rows.append(row)
+            sampled = [i for i, c in enumerate(kept["chosen"]) if c and letters[i]]
+            for i, row, key in zip(sampled, *vector_keys(tf[sampled]), strict=True):
+                if (kept["lang"][i], key) not in sent:  # as many as the sample has vectors
+                    sent.add((kept["lang"][i], key))
+                    own.append(i)
+                    keys.append(key)
+                    rows.append(row)
             return {"lang": [kept["lang"][i] for i in own], "letters": letters[own], "slot": [None] * len(own), "n": keys, "tf": rows}
 
         def finish():
@@ -188,32 +289,24 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", sa
     shared = df.sparkSession.sparkContext.broadcast(idf)
 
     def learn(table: pa.Table) -> pa.Table:
-        """Centroids of one language, and the best cosine of each of its rows with centroids of the other half."""
-        order = sorted(zip(table.column("tf").to_pylist(), table.column("letters").to_pylist(), strict=True))
+        """Centroids of one language: of all its rows of the sample and of each half."""
+        order = sorted(zip(table.column("tf").to_pylist(), table.column("n").to_pylist(), strict=True))
         x = np.stack([np.frombuffer(t, np.float16) for t, _ in order]).astype(np.float32)
         x *= shared.value
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-12))
-        c = spherical_kmeans(x, centroids).astype(np.float32)
-        best = np.zeros(len(x))
-        for half in (0, 1) if len(x) > 1 else ():
-            other = spherical_kmeans(x[1 - half :: 2], centroids).astype(np.float32)
-            best[half::2] = (x[half::2] @ other.T).max(axis=1)
-        sizes = size_class(np.array([n for _, n in order]))
-        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()], pa.string()), "centroids": pa.array([c.tobytes()], pa.binary()), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64())), "best": pa.array([best.astype(float).tolist()], pa.list_(pa.float64()))})
-
-    vectors_by = out.where("tf is not null").dropDuplicates(["lang", "n"]).select("lang", "letters", "tf")
-    learned = vectors_by.groupBy("lang").applyInArrow(learn, "lang string, centroids binary, sizes array<bigint>, best array<double>")
-    names, vectors, floors = [], [], [[] for _ in range(16)]
-    for r in sorted(learned.collect(), key=lambda r: r["lang"]):  # one row by language
-        c = np.frombuffer(r["centroids"], np.float32).reshape(-1, DIM)
-        names += [r["lang"]] * len(c)
-        vectors.append(c)
-        for size, s in zip(r["sizes"], r["best"], strict=True):
-            floors[size].append(s)
-    if not names:
+        half = np.array([n & 1 for _, n in order])
+        sets = [spherical_kmeans(v, centroids).astype(np.float32) if len(v) else v for v in (x, x[half == 0], x[half == 1])]
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()], pa.string()), "sets": pa.array([[c.tobytes() for c in sets]], pa.list_(pa.binary()))})
+
+    vectors_by = out.where("tf is not null").dropDuplicates(["lang", "n"]).select("lang", "n", "tf")
+    begun = vectors_by.groupBy("lang").applyInArrow(learn, "lang string, sets array<binary>").collect()  # one row by language
+    starts = {r["lang"]: [np.frombuffer(c, np.float32).reshape(-1, DIM) for c in r["sets"]] for r in begun}
+    if not starts:
         return Model(idf, np.zeros((0, DIM), np.float32), [], np.zeros(16))
-    vectors = np.vstack(vectors)
-    return Model(idf, vectors, names, floors_of(floors, collisions(idf, vectors)))
+    learned = whole_centroids(rows, idf, starts)
+    names = [k for k in sorted(learned) for _ in learned[k][0]]
+    vectors = np.vstack([learned[k][0] for k in sorted(learned)])
+    return Model(idf, vectors, names, floors_of(held_cosines(rows, idf, learned), collisions(idf, vectors)))
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
